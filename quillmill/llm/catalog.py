@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from quillmill.llm import chat, urlfilter
+from quillmill.llm import chat, decontaminate, linededup, mixing, urlfilter
 
 QUERIES = {
+    "op2_line_dedup": linededup.query,
+    "op3_decontamination": decontaminate.query,
+    "op6_mixing": mixing.query,
     "op9_chat_formatting": chat.query,
     "op10_url_filters": urlfilter.query,
 }
 ORACLE_SQL = {
+    "op2_line_dedup": linededup.ORACLE,
     "op9_chat_formatting": chat.ORACLE,
     "op10_url_filters": urlfilter.ORACLE,
 }
