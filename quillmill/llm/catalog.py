@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from quillmill.llm import chat, decontaminate, linededup, mixing, urlfilter
+from quillmill.llm import chat, decontaminate, htmltext, linededup, mixing, quality, urlfilter, warc
 
 QUERIES = {
     "op2_line_dedup": linededup.query,
     "op3_decontamination": decontaminate.query,
+    "op4_html_extraction": htmltext.query,
+    "op5_warc": warc.query,
     "op6_mixing": mixing.query,
+    "op8_quality_rules": quality.query,
     "op9_chat_formatting": chat.query,
     "op10_url_filters": urlfilter.query,
 }
