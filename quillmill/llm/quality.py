@@ -16,7 +16,7 @@ SPACES, SYMBOLS, UPPER, DIGITS = b" \t\n\r\x0b\x0c", b"#*$%&|<>", b"ABCDEFGHIJKL
 #: Fixed values of the contract.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: What describes a line: shares are of its bytes or words.
-FEATURES = ("bias", "symbols", "bars", "upper", "exclaimed", "digits", "equal_line", "repeated", "few_words", "sentence_end", "long_words", "log_words")
+FEATURES = ("bias", "symbols", "bars", "upper", "exclaimed", "digits", "equal_line", "repeated", "few_words", "long_words", "log_words")
 #: The share of words in content lines that a document needs.
 CONTENT_SHARE = 0.5
 #: Bounds of the sample that a field is fitted on: documents, and lines of each.
@@ -55,7 +55,7 @@ def describe(text: str | None) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
         size = len(x)
         rows.append((
             1.0, _count(x, SYMBOLS) / size, x.count(b"|") / k, _count(x, UPPER) / size, x.count(b"!") / k, _count(x, DIGITS) / size,
-            float(seen[x] > 1), float(total[b] - total[a]) / k, float(k < 4), float(x.rstrip(SPACES)[-1:] in b".!?:\""), float(size > 12 * k), np.log1p(k)))
+            float(seen[x] > 1), float(total[b] - total[a]) / k, float(k < 4), float(size > 12 * k), np.log1p(k)))
     return counts, np.array(rows, float).reshape(-1, len(FEATURES)), sizes
 
 
@@ -89,10 +89,10 @@ class LineField:
 
 
 #: Used where there are no labels of both kinds: clean sentences are content, symbols, capitals and repeats are not.
-DEFAULT = LineField(np.array([3.0, -20.0, -8.0, -12.0, -8.0, -4.0, -1.0, -4.0, -0.5, 0.5, -0.5, 0.1]), np.array([[0.7, -0.7], [-0.7, 0.7]]))
+DEFAULT = LineField(np.array([3.0, -20.0, -8.0, -12.0, -8.0, -4.0, -1.0, -4.0, -0.5, -0.5, 0.1]), np.array([[0.7, -0.7], [-0.7, 0.7]]))
 
 
-def fit_field(texts: list[np.ndarray], labels: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 1e-3) -> LineField:
+def fit_field(texts: list[np.ndarray], labels: np.ndarray, steps: int = 200, rate: float = 0.2, decay: float = 1e-5) -> LineField:
     """The field that makes the labels of the lines likeliest, by gradient steps over all texts at once.
 
     texts: FEATURES of the lines of each text; labels: one of each text, for all its lines. Either label weighs the same in all.
