@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillmill.llm import chat, decontaminate, htmltext, linededup, mixing, quality, urlfilter, warc
+from quillmill.llm import chat, decontaminate, htmltext, licenses, linededup, mixing, quality, urlfilter, warc
 
 QUERIES = {
+    "op1_license_scan": licenses.query,
     "op2_line_dedup": linededup.query,
     "op3_decontamination": decontaminate.query,
     "op4_html_extraction": htmltext.query,
