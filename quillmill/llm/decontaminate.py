@@ -39,7 +39,10 @@ def _seeds(h: str, at: str) -> Column:
 
 
 def _seeded(df: DataFrame, h: str, at: str) -> DataFrame:
-    placed = df.where(F.size(h) >= min(map(len, MASKS))).withColumn(at, F.explode(F.sequence(F.lit(0), F.size(h) - min(map(len, MASKS)))))
+    """A row for each place and mask. Everything up to the join stays in one generated stage, where h is a pointer: only hits are copied."""
+    least = min(map(len, MASKS))
+    places = F.when(F.size(h) >= least, F.sequence(F.lit(0), F.size(h) - least))
+    placed = df.withColumn(at, F.explode_outer(places))  # an inner one would bring a filter that splits the texts once more
     return placed.withColumn("seed", F.explode(_seeds(h, at))).where("seed IS NOT NULL")
 
 
@@ -87,7 +90,7 @@ def _against(words: DataFrame, items: DataFrame) -> DataFrame:
     hits = hits.select("doc_id", "item_id", F.greatest(F.lit(0), shift).alias("start"), F.size("item_h").alias("n_item"),
                        F.slice("h", F.greatest(F.lit(0), shift) + 1, F.size("item_h") - skipped).alias("mine"), F.slice("item_h", skipped + 1, F.size("item_h")).alias("theirs"))
     equal = F.zip_with("mine", "theirs", lambda a, b: F.coalesce(a == b, F.lit(False)))
-    found = hits.withColumn("b", _best(equal))
+    found = hits.withColumn("b", F.explode(F.array(_best(equal))))  # else the filter moves into the join, which then runs without generated code
     enough = F.least(F.lit(ENOUGH_WORDS), F.ceil(F.col("n_item") * ENOUGH_SHARE))
     return found.where(F.col("b.b_same") >= enough).select(
         "doc_id", "item_id", (F.col("start") + F.col("b.b_from")).cast("bigint").alias("first_word"), (F.col("b.b_till") - F.col("b.b_from")).cast("bigint").alias("n_aligned"),
