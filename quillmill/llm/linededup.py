@@ -17,9 +17,16 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _windows(lines: Column) -> Column:
-    """Of an array of lines: (first, last, k1, k2) of each window, lines counted from 0; k1 and k2 make a 128-bit hash."""
-    full = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"].rlike(r"[^\x20\x09-\x0D]"))
+def _filled(lines: Column) -> Column:
+    """(place, line) of the lines that hold something, counted from 0."""
+    return F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"].rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _windows(full: Column) -> Column:
+    """Of filled lines: (first, last, k1, k2) of each window; k1 and k2 make a 128-bit hash.
+
+    full must be a plain column: what a lambda refers to is computed again for every element.
+    """
     at = lambda j, o, f: F.get(full, j + o)[f]
 
     def one(j: Column) -> Column:
@@ -50,7 +57,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     Long texts are handled whole, other columns pass through, empty tables stay empty.
     """
     keyed = docs.withColumn("__print", F.xxhash64(text))
-    windows = keyed.select(F.col(doc_id).alias("__id"), "__print", F.explode(_windows(lines_of(F.col(text)))).alias("w")).select("__id", "__print", "w.*")
+    filled = keyed.select(F.col(doc_id).alias("__id"), "__print", _filled(lines_of(F.col(text))).alias("full"))
+    windows = filled.select("__id", "__print", F.explode_outer(_windows(F.col("full"))).alias("w")).select("__id", "__print", "w.*").where("first IS NOT NULL")
     place = F.struct("__id", "__print", "first")
     # Repeated rows have equal places: a window counts as repeated only if it has two of them.
     repeated = windows.groupBy("k1", "k2").agg(F.min(place).alias("kept"), F.max(place).alias("other")).where("kept <> other").drop("other")
@@ -58,12 +66,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     cuts = later.groupBy("__id", "__print").agg(F.collect_set(F.struct("first", "last")).alias("__cuts"))
     same = F.col(doc_id).eqNullSafe(F.col("c.__id")) & F.col("d.__print").eqNullSafe(F.col("c.__print"))
     out = keyed.alias("d").join(cuts.alias("c"), same, "left").drop(F.col("c.__id"), F.col("c.__print"))
-    lines = lines_of(F.col(text))
-    out = out.withColumn("__left", F.when(F.col("__cuts").isNotNull(), _without(lines, F.col("__cuts"))))
-    n = F.coalesce(F.when(F.col(text).isNull(), F.lit(0)), F.size(lines)).cast("bigint")
-    removed = F.when(F.col("__left").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("__left")).cast("bigint")
-    out = out.withColumns({"n_lines": n, "n_removed": removed})
-    return out.withColumn(text, F.when(F.col("__left").isNull(), F.col(text)).otherwise(F.array_join("__left", "\n"))).drop("__print", "__cuts", "__left")
+    out = out.withColumn("__lines", F.when(F.col("__cuts").isNotNull(), lines_of(F.col(text))))
+    out = out.withColumn("__left", F.when(F.col("__cuts").isNotNull(), _without(F.col("__lines"), F.col("__cuts"))))
+    n = F.coalesce(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("bigint")
+    out = out.withColumns({"n_lines": n, "n_removed": F.coalesce(F.size("__lines") - F.size("__left"), F.lit(0)).cast("bigint")})
+    out = out.withColumn(text, F.when(F.col("__left").isNull(), F.col(text)).otherwise(F.array_join("__left", "\n")))
+    return out.drop("__print", "__cuts", "__lines", "__left")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
