@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmill.llm import chat, decontaminate, htmltext, licenses, linededup, mixing, quality, urlfilter, warc
+from quillmill.llm import chat, decontaminate, htmltext, licenses, linededup, mixing, ngramjoin, quality, urlfilter, warc
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_html_extraction": htmltext.query,
     "op5_warc": warc.query,
     "op6_mixing": mixing.query,
+    "op7_ngram_join": ngramjoin.query,
     "op8_quality_rules": quality.query,
     "op9_chat_formatting": chat.query,
     "op10_url_filters": urlfilter.query,
