@@ -1,4 +1,6 @@
 """Every query of the engine by name, with the SQL it is held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quillmill.plans import corpus, language
+
+QUERIES = corpus.QUERIES | language.QUERIES
+ORACLE_SQL = corpus.ORACLE_SQL | language.ORACLE_SQL

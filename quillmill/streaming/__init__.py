@@ -1 +1 @@
-
+"""Resumable and continuous runs."""
