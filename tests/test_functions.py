@@ -1,0 +1,120 @@
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+import pytest
+
+from quillmill.functions import clean, distance, segment, text
+
+
+def one(spark, expression, **values):
+    """The value of an expression over one row of string columns."""
+    row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values))
+    return row.select(expression.alias("x")).first()[0]
+
+
+def test_tokens_split_at_any_white_space(spark):
+    assert one(spark, text.tokenize("t"), t=" a b\tc d\x1ce  f\n") == list("abcdef")
+    assert one(spark, text.tokenize("t"), t=None) == []
+    assert one(spark, text.tokenize("t"), t="") == []
+
+
+def test_lower_case_of_both_kinds_of_i(spark):
+    assert one(spark, text.az_lower("t"), t="IİŞ") == "ıiş"
+
+
+def test_normalised_tokens_keep_or_join_hyphens_and_keep_digits(spark):
+    assert one(spark, text.normalised_tokens("t"), t="Ləxt-ləxt, olmuş! 2x") == ["ləxt-ləxt", "olmuş", "2x"]
+    assert one(spark, text.normalised_tokens("t", False), t="Ləxt-ləxt, olmuş!") == ["ləxtləxt", "olmuş"]
+
+
+@pytest.mark.parametrize(("corrected", "original", "want"), [("aşiq", "Asiq", "Aşiq"), ("ışıq", "Isiq", "Işıq"), ("iynə", "İyne", "İynə"), ("söz", "soz", "söz"), ("", "A", ""), (None, "A", None)])
+def test_case_is_restored(spark, corrected, original, want):
+    assert one(spark, text.preserve_case(F.col("c"), F.col("o")), c=corrected, o=original) == want
+
+
+def test_variants_swap_one_letter(spark):
+    assert set(one(spark, distance.variants(F.col("t")), t="ses")) == {"ses", "şes", "səs", "seş"}
+    assert one(spark, distance.variants(F.col("t")), t="") == [""]
+
+
+def plain_weighted(a, b):
+    alike = {frozenset(p) for p in distance.SIMILAR}
+    row = [float(j) for j in range(len(b) + 1)]
+    for i, s in enumerate(a):
+        new = [i + 1.0]
+        for j, t in enumerate(b):
+            new.append(min(row[j] + (0 if s == t else 0.5 if frozenset((s, t)) in alike else 1), row[j + 1] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize(("a", "b", "want"), [("şakar", "salar", 1.5), ("çırqa", "çərxə", 2.5), ("kitab", "kitab", 0), ("", "abc", 3), ("abc", "", 3), ("", "", 0)])
+def test_weighted_distance(spark, a, b, want):
+    assert one(spark, distance.weighted_distance(F.col("a"), F.col("b")), a=a, b=b) == want
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.text("aəıisşx", max_size=6), st.text("aəıisşx", max_size=6)), min_size=1, max_size=40))
+def test_weighted_distance_is_the_table_and_below_plain(spark, pairs):
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for r in df.select("a", "b", distance.weighted_distance(F.col("a"), F.col("b")).alias("w"), F.levenshtein("a", "b").alias("p"), F.levenshtein(distance.folded(F.col("a")), distance.folded(F.col("b"))).alias("f")).collect():
+        assert r.w == plain_weighted(r.a, r.b)
+        assert r.f <= r.w <= r.p
+
+
+@pytest.mark.parametrize(("t", "want"), [("Bir... iki!", ["Bir..", "iki"]), ("bir\niki", ["bir\niki"]), ("!", []), ("", []), (None, [])])
+def test_basic_segments(spark, t, want):
+    assert one(spark, segment.basic(F.col("t")), t=t) == want
+
+
+def test_stanza_without_sentence_gives_its_lines(spark):
+    assert one(spark, segment.poetry_aware(F.col("t")), t="!") == ["!"]
+    assert one(spark, segment.poetry_aware(F.col("t")), t="a. b\n \nc\nd") == ["a", "b", "c\nd"]
+
+
+def test_only_long_segments_are_cut_at_clauses(spark):
+    long, short = "x" * 150 + "; " + "y" * 150, "x" * 90 + "; " + "y" * 90
+    assert one(spark, segment.advanced(F.col("t")), t=long) == ["x" * 150, "y" * 150]
+    assert one(spark, segment.advanced(F.col("t")), t=short) == [short]
+
+
+def test_metrics_of_no_segments_are_zero(spark):
+    m = one(spark, segment.metrics(segment.basic(F.col("t"))), t="")
+    assert tuple(m) == (0, 0.0, 0.0, 0.0, 0, 0, 0, 0)
+    m = one(spark, segment.metrics(segment.basic(F.col("t"))), t="ab. cdef. g")
+    assert (m.num_segments, m.avg_length, m.median_length, m.min_length, m.max_length, m.total_chars) == (3, 7 / 3, 2.0, 1, 4, 7)
+
+
+@pytest.mark.parametrize(("t", "want"), [
+    ("{{x\n| a=1\n}}\npoem", ("poem", True, False)), ("| a=1\n}}\npoem", ("poem", True, False)), ("{{x\n}}\npoem", ("poem", True, False)), ("}}\nx", ("}}\nx", False, False)),
+    ("* a\n* b\n* c\n* d\n* e\n* f\nTitle", ("", False, True)), ("* a\n* b\n* c\n* d", ("* a\n* b\n* c\n* d", False, False)), ("", ("", False, False)), (None, ("", False, False)), (" a\r\nb\r", ("a\nb\n", False, False)),
+])
+def test_cleaning(spark, t, want):
+    assert tuple(one(spark, clean.clean_text(F.col("t")), t=t)) == want
+
+
+def test_wiki_markup(spark):
+    assert one(spark, clean.clean_wikitext(F.col("t")), t="[[Bakı|şəhər]] [[Gəncə]]") == "şəhər Gəncə"
+    assert one(spark, clean.clean_wikitext(F.col("t")), t="{{a{{b}}c}}\n== x ==\nd<br/>e\n\n f ") == "c}}\nd\ne\nf"
+
+
+def test_length_is_counted_in_bytes(spark):
+    t = "ə" * 150 + "\n" * 10
+    assert len(t) < 300 and one(spark, clean.long_enough(F.col("t")), t=t)
+    assert not one(spark, clean.long_enough(F.col("t")), t="e" * 150 + "\n" * 10)
+
+
+def test_urls(spark):
+    assert one(spark, text.url_query(F.col("t")), t="a b&c~*") == "a+b%26c~%2A"
+    assert one(spark, text.url_path(F.col("t")), t="a b&c/d") == "a%20b&c%2Fd"
+
+
+def test_typos_are_repeatable_and_of_their_type(spark):
+    words = spark.createDataFrame([(w,) for w in ("gözəl", "kitab", "su", "a", "dəniz", "uzun", "ağac", "yol")], "word string")
+    rows = words.select("word", distance.typo(F.col("word"), 1.0, 3).alias("t")).select("word", "t.*").collect()
+    assert rows == words.select("word", distance.typo(F.col("word"), 1.0, 3).alias("t")).select("word", "t.*").collect()
+    for r in rows:
+        n = len(r.error_word) - len(r.word)
+        assert {"substitution": 0, "transposition": 0, "correct": 0, "insertion": 1, "deletion": -1}[r.error_type] == n
+        if r.error_type == "transposition":
+            assert sorted(r.error_word) == sorted(r.word)
+    assert next(r for r in rows if r.word == "a").error_type == "correct"
