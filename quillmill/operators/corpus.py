@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quillmill.functions.text import filled, strip, tokenize
 
 
+#: Steps of the growth curve that are summed at once.
+BLOCK = 4096
+
+
 def occurrences(docs: DataFrame, text: str, order: str, tokens: Callable[[str], Column] = tokenize) -> DataFrame:
     """(order, pos, token): every token, placed in its document from 0."""
     return docs.select(F.col(order).alias("doc"), F.posexplode(tokens(text)).alias("pos", "token"))
@@ -54,7 +58,7 @@ def vocabulary_growth(docs: DataFrame, step: int = 1000, text: str = "text", ord
 
     A token's place is its place in the document plus the tokens before that. Those are summed in two turns, within and
     over ranges of documents, so that no window holds the corpus; of each token only the first place matters, counted by
-    steps. What meets in one window in the end is a row for each step.
+    steps, and steps are summed in two turns again. What meets in one window in the end is a row for each BLOCK of steps.
     """
     counted = docs.select(F.col(order).alias("doc"), tokenize(text).alias("tokens"))
     per_doc = counted.groupBy("doc").agg(F.sum(F.size("tokens")).alias("n"))
@@ -67,10 +71,14 @@ def vocabulary_growth(docs: DataFrame, step: int = 1000, text: str = "text", ord
     offsets = placed.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0))).join(parts, "part").select("doc", (F.col("base") + F.col("inner")).alias("offset"))
     first = counted.select("doc", F.posexplode("tokens").alias("pos", "token")).groupBy("token").agg(F.min(F.struct("doc", "pos")).alias("first"))
     steps = first.select(F.col("first.doc").alias("doc"), F.col("first.pos").alias("pos")).join(offsets, "doc").groupBy(F.ceil((F.col("offset") + F.col("pos") + 1) / step).alias("bucket")).agg(F.count("*").alias("fresh"))
-    total = parts.select("total").distinct()
-    every = total.select("total", F.explode(F.when(F.col("total") > 0, F.sequence(F.lit(1), F.ceil(F.col("total") / step)))).alias("bucket"))
-    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = every.join(steps, "bucket", "left").select(F.least(F.col("bucket") * step, F.col("total")).alias("tokens"), F.sum(F.coalesce("fresh", F.lit(0))).over(upto).alias("types"))
+    total = parts.select("total").distinct().withColumn("steps", F.ceil(F.col("total") / step))
+    blocks = total.select("*", F.explode(F.when(F.col("total") > 0, F.sequence(F.lit(0), F.floor((F.col("steps") - 1) / BLOCK)))).alias("block"))
+    bucket = F.explode(F.sequence(F.col("block") * BLOCK + 1, F.least((F.col("block") + 1) * BLOCK, F.col("steps"))))
+    every = blocks.repartition("block").select("total", "block", bucket.alias("bucket")).join(steps, "bucket", "left").withColumn("fresh", F.coalesce("fresh", F.lit(0)))
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = every.groupBy("block").agg(F.sum("fresh").alias("m")).select("block", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("before"))
+    upto = Window.partitionBy("block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = every.withColumn("own", F.sum("fresh").over(upto)).join(sums, "block").select(F.least(F.col("bucket") * step, F.col("total")).alias("tokens"), (F.col("before") + F.col("own")).alias("types"))
     return out.withColumns({"log_tokens": F.ln("tokens"), "log_types": F.ln("types")})
 
 
