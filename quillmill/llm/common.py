@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -33,6 +34,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffles whose plans are out of use: their files stay on executors' disks until the driver collects its garbage, which long jobs on small plans hardly make it do."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch_table(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -45,3 +52,30 @@ def lower_ascii(c: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+class Scratch:
+    """Tables in the shared folder that go when the work ends. Unlike checkpoints they are compressed, and only columns that are read again are read."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        for name in list(self.paths):
+            self.drop(name)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table of this name, in place of an earlier one, which df may still read."""
+        path = scratch_table(self.spark, name)
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.parquet(path)
+
+    def drop(self, name: str) -> None:
+        if path := self.paths.pop(name, None):
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

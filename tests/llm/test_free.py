@@ -138,6 +138,8 @@ def test_join_with_long_lists_in_blocks_and_in_parts(spark, monkeypatch, listed,
     monkeypatch.setattr(ngramjoin, "LISTED", listed)
     monkeypatch.setattr(ngramjoin, "FREQUENT", frequent)
     monkeypatch.setattr(ngramjoin, "PART_ROWS", parts)
+    monkeypatch.setattr(ngramjoin, "LED", min(4, listed))
+    monkeypatch.setattr(ngramjoin, "PAIRS", 3)
     monkeypatch.setattr(ngramjoin, "SEARCHING", 4)
     monkeypatch.setattr(ngramjoin, "SEARCHED", 6)
     r = random.Random(8)
@@ -155,9 +157,10 @@ def test_join_with_long_lists_in_blocks_and_in_parts(spark, monkeypatch, listed,
 
 def test_join_of_repeated_ids_null_ids_and_nothing(spark):
     a, b, c = ("one two three four five six seven", "ein zwei drei vier fünf sechs sieben", "uno dos tres cuatro cinco seis siete")
-    rows = [(5, a), (5, b), (2, a), (3, b), (7, c), (None, c), (None, a), (9, c), (9, c)]
+    long = " ".join(f"l{i}" for i in range(200))
+    rows = [(5, a), (5, b), (2, a), (3, b), (7, c), (None, c), (None, a), (9, c), (9, c), (9, long), (11, long + " m")]
     got = sorted(((r.doc_id or 0, r.component_id or 0) for r in ngramjoin.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
-    assert got == [(0, 0), (0, 0), (2, 2), (3, 2), (5, 2), (5, 2), (7, 7), (9, 7), (9, 7)]
+    assert got == [(0, 0), (0, 0), (2, 2), (3, 2), (5, 2), (5, 2), (7, 7), (9, 7), (9, 7), (9, 7), (11, 7)]
     assert ngramjoin.similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
