@@ -19,6 +19,10 @@ LINKS = [
     ("A", '{"parse":{"links":[{"ns":0,"*":"Bir"},{"ns":14,"*":"Kateqoriya:X"},{"ns":0,"*":"Şəkil:y"},{"ns":0,"*":"İki söz"}]}}'), ("B", '{"parse":{"links":[]}}'), ("C", "{}"), ("D", "no json"), ("E", None),
     ("F", '{"parse":{"links":[{"ns":0,"*":"Author:z"},{"ns":0,"*":"Üç & dörd"}]}}'),
 ]
+RESPONSES = [
+    ("A", "Bir söz", '{"parse":{"wikitext":{"*":"[[a|b]]\\n\\n<poem>c</poem>"}}}'), ("A", "X & Y/z", '{"error":{"code":"missing","info":"no page"}}'), ("B", "Q", None), ("B", "R", "{}"),
+    ("C", "Ş", '{"parse":{"wikitext":{"*":"{{x}}== h ==\\n  iki  "}}}'),
+]
 METADATA = [
     (1, "{{x\n| a=1\n| b=2\n}}\npoem\nline"), (2, "| a=1\n}}\npoem"), (3, "{{x\n}}\npoem"), (4, "* a\n* b\n* c\n* d\n* e\n* f\nTitle"), (5, "* a\n* b\n* c\n* d\n* e\nA long heading of more than six words here\n"),
     (6, "poem\r\nline\r\n"), (7, "  \n poem"), (8, "{{x\n| a\nno end"), (9, ""), (10, None), (11, "* a\n* b\n* c\n* d"), (12, "{{x\n| a\n}}\n\n* a\n* b\n* c\n* d\n* e"), (13, "* a\n\n* b\n* c\n* d\n* e\n"), (14, "}}\nx"), (15, "a * b"),
@@ -77,6 +81,8 @@ QUERIES = {
     "preserve_case": lambda s, d: inline(s, RESTORED, "corrected string, original string").select("corrected", "original", preserve_case(F.col("corrected"), F.col("original")).alias("restored")),
     "wikitext_clean": lambda s, d: inline(s, WIKI, "id int, text string").select("id", clean_wikitext(F.col("text")).alias("text")).unionByName(read(s, d, "pages", "page_id", "html").select(F.col("page_id").alias("id"), clean_wikitext(F.col("html")).alias("text"))).select(F.col("id").cast("bigint").alias("id"), "text"),
     "link_titles": lambda s, d: ingest.link_titles(inline(s, LINKS, "author string, body string")),
+    "page_texts": lambda s, d: ingest.page_texts(inline(s, RESPONSES, "author string, title string, body string")),
+    "token_report_json": lambda s, d: corpus.token_stats(_docs(s, d, "text")).select(F.to_json(F.struct(F.lit("documents").alias("dataset"), F.col("n_rows").alias("rows"), "total_tokens", "unique_types")).alias("report")),
     "poem_quality_filter": lambda s, d: ingest.keep_long(_docs(s, d, "doc_id", "text")).select("doc_id"),
     "template_removed": lambda s, d: _cleaned(s).select("id", "text", "template_removed"),
     "toc_removed": lambda s, d: _cleaned(s).select("id", "text", "toc_removed"),
@@ -222,6 +228,13 @@ ORACLE_SQL = {
         WITH r AS (SELECT author, CASE WHEN json_valid(body) THEN body::JSON END AS j FROM {values_sql(LINKS, "author", "body")}),
         l AS (SELECT author, unnest(from_json(j->'$.parse.links', '["JSON"]')) AS link FROM r)
         SELECT author, json_extract_string(link, '/*') AS title FROM l WHERE (link->>'$.ns')::INT = 0 AND NOT starts_with(title, 'Kateqoriya:') AND NOT starts_with(title, 'Şəkil:') AND NOT starts_with(title, 'Author:')""",
+    "page_texts": f"""
+        WITH r AS (SELECT author, title, body::JSON AS j FROM {values_sql(RESPONSES, "author", "title", "body")}),
+        p AS (SELECT *, json_extract_string(j, '/error/code') AS code, json_extract_string(j, '/error/info') AS info, json_extract_string(j, '/parse/wikitext/*') AS w FROM r)
+        SELECT author, title, 'https://example.org/wiki/' || replace(url_encode(title), '%26', '&') AS url, CASE WHEN code IS NULL AND w IS NOT NULL THEN {_wiki_sql("w")} END AS text,
+               CASE WHEN code IS NOT NULL THEN code || ': ' || info WHEN w IS NULL THEN 'no text' END AS error FROM p""",
+    "token_report_json": f"""
+        WITH t AS ({_stats_sql("documents", "")}) SELECT '{{"dataset":"documents","rows":' || n_rows || ',"total_tokens":' || total_tokens || ',"unique_types":' || unique_types || '}}' AS report FROM t""",
     "poem_quality_filter": "SELECT doc_id FROM documents WHERE strlen(text) >= 300 AND length(text) - length(replace(text, chr(10), '')) >= 10",
     "template_removed": f"WITH {_cleaned_sql(values_sql(METADATA, 'id', 'text'))} SELECT id, text, template_removed FROM cleaned",
     "toc_removed": f"WITH {_cleaned_sql(values_sql(METADATA, 'id', 'text'))} SELECT id, text, toc_removed FROM cleaned",

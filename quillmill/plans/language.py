@@ -87,6 +87,7 @@ QUERIES = {
     "spell_cascade": lambda s, d: spell.correct(_asked(s, d), _vocab(s, d), 4),
     "alternatives": lambda s, d: spell.alternatives(_asked(s, d), _frequent(s, d), 1),
     "single_check": lambda s, d: spell.check(_asked(s, d), _frequent(s, d), 1).select("word", "exists_in_vocab", "word_frequency", "correction", "distance", F.coalesce(F.array_join(F.transform("alternatives", lambda a: a["candidate"]), ","), F.lit("")).alias("alternatives")),
+    "batch_check": lambda s, d: spell.check_texts(read(s, d, "benchmark", "text"), _vocab(s, d), 3),
     "batch_check_tally": lambda s, d: spell.tally(spell.check_texts(read(s, d, "benchmark", "text"), _vocab(s, d), 3)),
     "spell_accuracy": lambda s, d: evaluate.accuracy(_results(s)),
     "accuracy_by_type": lambda s, d: evaluate.accuracy(_results(s), ["error_type"]).withColumn("accuracy", F.round("accuracy", 6)),
@@ -106,8 +107,10 @@ QUERIES = {
     "bpe_pair_counts": lambda s, d: bpe.pair_counts(bpe.word_vocabulary(_docs(s, d, "doc_id", "text"))).select("left", "right", "freq"),
     "bpe_merges_small": _merges,
     "bpe_merge_lines": lambda s, d: bpe.merge_lines(_merges(s, d)),
+    "bpe_stats": lambda s, d: corpus.token_stats(_encoded(s, d).select("bpe_text"), text="bpe_text").select("n_rows", F.col("total_tokens").alias("total_bpe_tokens"), F.col("unique_types").alias("unique_bpe_types")),
     "bpe_apply": lambda s, d: _encoded(s, d).select("doc_id", "bpe_text"),
     "bpe_vocab_ids": lambda s, d: bpe.vocabulary_ids(_docs(s, d, "text"), "text"),
+    "enrich_alignment": lambda s, d: _docs(s, d, "doc_id").join(_done(s, d).where("value = 'done'"), "doc_id", "full").agg(F.count("*").alias("keys"), F.count("value").alias("done")),
     "enrich_pending": lambda s, d: enrich.pending(_docs(s, d, "doc_id"), _done(s, d), "doc_id"),
     "enrich_stub": lambda s, d: enrich.enrich(_docs(s, d, "doc_id", "text"), lambda t: t.upper()[::-1], "doc_id", "text").select("doc_id", F.length("value").alias("n"), "error"),
     "prompts": lambda s, d: _docs(s, d, "doc_id", "text").select("doc_id", prompt(PROMPT, F.col("text")).alias("prompt")),
@@ -255,6 +258,9 @@ ORACLE_SQL = {
         WITH {FREQUENT}, {CASES}, {ASKED}, {_cascade_sql("frequent", 1)},
         others AS (SELECT word, candidate, row_number() OVER (PARTITION BY word ORDER BY distance, freq DESC, candidate) AS rank FROM ({_near_sql("(SELECT * FROM asked WHERE word IN (SELECT word FROM corrected WHERE correction IS NULL))", "frequent", 2)}) QUALIFY rank <= 5)
         SELECT word, tier = 'exact' AS exists_in_vocab, CASE WHEN tier = 'exact' THEN freq ELSE 0 END AS word_frequency, correction, distance, coalesce((SELECT string_agg(candidate, ',' ORDER BY rank) FROM others o WHERE o.word = c.word), '') AS alternatives FROM corrected c""",
+    "batch_check": f"""
+        WITH {VOCAB}, words AS (SELECT word, count(*) AS n FROM (SELECT unnest({normal_sql("text")}) AS word FROM benchmark) GROUP BY word), asked AS (SELECT word, {lower_sql("word")} AS low FROM words), {_cascade_sql("vocab", 3)}
+        SELECT word, CASE tier WHEN 'exact' THEN 'Correct' WHEN 'none' THEN 'Not Found' ELSE 'Corrected' END AS status, correction, distance, n FROM corrected JOIN words USING (word)""",
     "batch_check_tally": f"""
         WITH {VOCAB}, words AS (SELECT word, count(*) AS n FROM (SELECT unnest({normal_sql("text")}) AS word FROM benchmark) GROUP BY word), asked AS (SELECT word, {lower_sql("word")} AS low FROM words), {_cascade_sql("vocab", 3)}
         SELECT coalesce(sum(n), 0)::BIGINT AS total_words, coalesce(sum(n) FILTER (tier = 'exact'), 0)::BIGINT AS correct, coalesce(sum(n) FILTER (tier IN ('variant', 'distance')), 0)::BIGINT AS corrected, coalesce(sum(n) FILTER (tier = 'none'), 0)::BIGINT AS not_found
@@ -287,6 +293,7 @@ ORACLE_SQL = {
     "bpe_merges_small": f"WITH {_merges_sql()} SELECT * FROM merges",
     "bpe_merge_lines": f"""WITH {_merges_sql()} SELECT 0 AS line, '#version: 0.2' AS value UNION ALL SELECT rank + 1, "left" || ' ' || "right" FROM merges""",
     "bpe_vocab_ids": f"SELECT token, count(*) AS frequency, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS id FROM (SELECT unnest({tokens_sql('text')}) AS token FROM documents) GROUP BY token",
+    "enrich_alignment": "SELECT count(*) AS keys, count(l.doc_id) AS done FROM documents d FULL JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON l.doc_id = d.doc_id",
     "enrich_pending": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "enrich_stub": f"SELECT doc_id, CASE WHEN {strip_sql('text')} = '' THEN 0 ELSE length(upper(text)) + 1 * (length(text) - length(replace(text, 'ß', ''))) END AS n, NULL::VARCHAR AS error FROM documents",
     "prompts": f"SELECT doc_id, {values_sql([(PROMPT.split('{text}')[0],)], 'p')}::VARCHAR || coalesce(text, '') || chr(10) AS prompt FROM documents",
