@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillmill.functions.distance import folded, variants, weighted_distance
+from quillmill.functions.distance import folded, letter_bits, variants, weighted_distance
 from quillmill.functions.text import az_lower, normalised_tokens, preserve_case, strip
 
 
@@ -24,18 +24,30 @@ def by_variant(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return best.select("word", "low", F.col("b.form").alias("correction"), F.lit(0.5).alias("distance"), (-F.col("b.less")).alias("freq"))
 
 
-def candidates(queries: DataFrame, vocabulary: DataFrame, radius: int, measure=None, bound=None) -> DataFrame:
+def _parts(df: DataFrame) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def candidates(queries: DataFrame, vocabulary: DataFrame, radius: float, measure=None, fold=None) -> DataFrame:
     """(word, low, candidate, freq, distance) of all vocabulary words within radius, found by their length.
 
-    measure gives the distance of low and candidate, Levenshtein's by default; bound, a cheaper integer distance below it, is tried first.
+    measure gives the distance of low and candidate, Levenshtein's by default. Levenshtein's distance of folded words must
+    bound it from below. The letters of both are compared first: words whose letters differ by too many bits are too far.
     """
-    lengths = F.sequence(F.greatest(F.lit(1), F.length("low") - int(radius)), F.length("low") + int(radius))
-    wanted = queries.select("word", "low", F.explode(F.when(F.length("low") + int(radius) >= 1, lengths)).alias("len"))
-    pairs = wanted.join(vocabulary.select(F.col("word").alias("candidate"), "freq", F.length("word").alias("len")), "len")
-    near = bound or (lambda a, b: F.levenshtein(a, b, int(radius)))
-    pairs = pairs.where(near(F.col("low"), F.col("candidate")) >= 0)
-    found = pairs.withColumn("distance", (measure or F.levenshtein)(F.col("low"), F.col("candidate")).cast("double"))
-    return found.where(F.col("distance") <= radius).select("word", "low", "candidate", "freq", "distance")
+    k, fold = int(radius), fold or (lambda c: c)
+    lengths = F.sequence(F.greatest(F.lit(1), F.length("low") - k), F.length("low") + k)
+    wanted = queries.withColumn("a", fold(F.col("low"))).select("word", "low", "a", letter_bits(F.col("a")).alias("a_bits"), F.explode(F.when(F.length("low") + k >= 1, lengths)).alias("len")).repartition(_parts(queries), "word", "len")
+    # Each word is held against many: both sides are dealt out evenly first, as their bytes would not make Spark do so.
+    dealt = vocabulary.select(F.col("word").alias("candidate"), "freq", F.length("word").alias("len"), fold(F.col("word")).alias("b")).repartition(_parts(vocabulary), "candidate")
+    pairs = wanted.join(dealt.withColumn("b_bits", letter_bits(F.col("b"))), "len")
+    apart = F.abs(F.length("a") - F.length("b"))
+    alike = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= 2 * k - apart
+    pairs = pairs.where(F.when(alike, F.levenshtein("a", "b", k)).otherwise(-1) >= 0)  # one expression, so that the cheap test comes first
+    if measure is None:
+        return pairs.select("word", "low", "candidate", "freq", F.levenshtein("a", "b").cast("double").alias("distance"))
+    # Behind a generator the measure stays out of the join's condition, which then keeps its generated code.
+    found = pairs.select("word", "low", "candidate", "freq", F.explode(F.array(measure(F.col("low"), F.col("candidate")))).alias("distance"))
+    return found.where(F.col("distance") <= radius)
 
 
 def nearest(found: DataFrame) -> DataFrame:
@@ -48,21 +60,29 @@ def _asked(words: DataFrame) -> DataFrame:
     return words.select("word").distinct().select("word", az_lower("word").alias("low"))
 
 
+def _then(asked: DataFrame, found: DataFrame, tier: str, name: str) -> DataFrame:
+    """asked with what a tier found for words that have no tier yet."""
+    new = found.select("word", *(F.col(c).alias(f"__{c}") for c in ("correction", "distance", "freq")))
+    out = asked.join(new, "word", "left")
+    hit = F.col("__correction").isNotNull()
+    columns = {c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in ("correction", "distance", "freq")}
+    return out.withColumns({name: F.when(hit, F.lit(tier)).otherwise(F.col(name))} | columns).select("word", "low", "correction", "distance", "freq", name)
+
+
+def _untold(asked: DataFrame, name: str) -> DataFrame:
+    return asked.select("word", "low", F.lit(None).cast("string").alias("correction"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("bigint").alias("freq"), F.lit(None).cast("string").alias(name))
+
+
 def correct(words: DataFrame, vocabulary: DataFrame, radius: int = 4) -> DataFrame:
     """(word, correction, distance, freq, tier) of each distinct word; correction and distance are null where nothing is near.
 
-    The case of the first letter is restored, except on exact matches, which stay as the vocabulary has them lower-cased.
+    The case of the first letter is restored in all tiers.
     """
-    asked = _asked(words)
-    one = exact(asked, vocabulary)
-    rest = asked.join(one.select("word"), "word", "left_anti")
-    two = by_variant(rest, vocabulary)
-    rest = rest.join(two.select("word"), "word", "left_anti")
-    three = nearest(candidates(rest, vocabulary, radius))
-    none = rest.join(three.select("word"), "word", "left_anti").select("word", "low", F.lit(None).cast("string").alias("correction"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("bigint").alias("freq"))
-    tiers = [d.withColumn("tier", F.lit(t)) for d, t in ((one, "exact"), (two, "variant"), (three, "distance"), (none, "none"))]
-    out = tiers[0].unionByName(tiers[1]).unionByName(tiers[2]).unionByName(tiers[3])
-    return out.select("word", preserve_case(F.col("correction"), F.col("word")).alias("correction"), "distance", "freq", "tier")
+    asked = _untold(_asked(words), "tier")
+    asked = _then(asked, exact(asked.select("word", "low"), vocabulary), "exact", "tier")
+    asked = _then(asked, by_variant(asked.where("tier IS NULL").select("word", "low"), vocabulary), "variant", "tier")
+    asked = _then(asked, nearest(candidates(asked.where("tier IS NULL").select("word", "low"), vocabulary, radius)), "distance", "tier")
+    return asked.select("word", preserve_case(F.col("correction"), F.col("word")).alias("correction"), "distance", "freq", F.coalesce("tier", F.lit("none")).alias("tier"))
 
 
 def alternatives(words: DataFrame, vocabulary: DataFrame, radius: int = 3, k: int = 5) -> DataFrame:
@@ -101,11 +121,8 @@ def tally(checked: DataFrame) -> DataFrame:
 
 def correct_weighted(words: DataFrame, vocabulary: DataFrame, radius: float = 2.5) -> DataFrame:
     """(word, correction, distance, freq, prediction_type) by the weighted distance, which folded words bound from below."""
-    asked = _asked(words)
-    one = exact(asked, vocabulary)
-    rest = asked.join(one.select("word"), "word", "left_anti")
-    bound = lambda a, b: F.levenshtein(folded(a), folded(b), int(radius))
-    near = nearest(candidates(rest, vocabulary, radius, weighted_distance, bound))
-    none = rest.join(near.select("word"), "word", "left_anti").select("word", "low", F.lit(None).cast("string").alias("correction"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("bigint").alias("freq"))
-    tiers = [d.withColumn("prediction_type", F.lit(t)) for d, t in ((one, "exact_match"), (near, "corrected"), (none, "no_match"))]
-    return tiers[0].unionByName(tiers[1]).unionByName(tiers[2]).drop("low")
+    asked = _untold(_asked(words), "prediction_type")
+    asked = _then(asked, exact(asked.select("word", "low"), vocabulary), "exact_match", "prediction_type")
+    near = nearest(candidates(asked.where("prediction_type IS NULL").select("word", "low"), vocabulary, radius, weighted_distance, folded))
+    asked = _then(asked, near, "corrected", "prediction_type")
+    return asked.select("word", "correction", "distance", "freq", F.coalesce("prediction_type", F.lit("no_match")).alias("prediction_type"))

@@ -30,9 +30,15 @@ def ascii_sql(word: str) -> str:
     return f"translate({word}, '{ACCENTED}', '{PLAIN}')"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it comes in fewer splits than there are: a small file of one row group would keep one core busy. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return df.select(*columns) if columns else df
+    return spread(df.select(*columns)) if columns else df
 
 
 def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
