@@ -18,6 +18,8 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_line_dedup": linededup.ORACLE,
+    "op5_warc": warc.ORACLE,
+    "op7_ngram_join": ngramjoin.ORACLE,
     "op9_chat_formatting": chat.ORACLE,
     "op10_url_filters": urlfilter.ORACLE,
 }
