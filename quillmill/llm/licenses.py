@@ -1,7 +1,7 @@
 """License detection by ordered signature rules.
 
-Texts become lower-case words set apart by single spaces. Each rule is a regular expression over them with a keyword,
-a priority and a confidence; a text is searched for keywords once, and only rules whose keyword it has are tried.
+Texts become lower-case words set apart by single spaces. Each rule is a regular expression over them with keywords,
+a priority and a confidence; a text is searched for keywords once, and only rules of which it has a keyword are tried.
 A detection that lies within another of higher priority, or of its own priority but longer or earlier in the rules, goes.
 """
 
@@ -15,19 +15,20 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fixed values of the contract: phrases and labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Label, keyword, and how the license is named in words; names that mean nothing without "license" have a * before them.
+#: Label, keywords, and how the license is named in words; names that mean nothing without "license" have a * before them.
+#: Whatever a name matches has one of its keywords, set apart by |, as a whole word.
 FAMILIES = (
-    ("0bsd", "bsd", r"(?:zero clause|0 clause) bsd|0bsd|bsd zero clause"),
+    ("0bsd", "bsd|0bsd", r"(?:zero clause|0 clause) bsd|0bsd|bsd zero clause"),
     ("aal", "attribution", r"attribution assurance"),
     ("afl-3", "academic", r"academic free(?: license)?(?: v| version)? ?3(?: 0)?"),
     ("agpl-3", "affero", r"(?:gnu )?affero general public(?: license)?(?: v| version)? ?3(?: 0)?"),
-    ("agpl", "agpl", r"agpl(?: ?v?3(?: 0)?)?"),
+    ("agpl", "agpl|agpl3|agplv3", r"agpl(?: ?v?3(?: 0)?)?"),
     ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version)? 1 1"),
-    ("apache-2", "apache", r"apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"),
+    ("apache-2", "apache|apache2", r"apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"),
     ("apsl-2", "apple", r"apple public source(?: license)?(?: version)? 2(?: 0)?"),
     ("artistic-1", "artistic", r"artistic(?: license)?(?: version)? 1(?: 0)?"),
     ("artistic-2", "artistic", r"artistic(?: license)?(?: version)? 2(?: 0)?"),
-    ("beerware", "beer", r"beer ?ware"),
+    ("beerware", "beer|beerware", r"beer ?ware"),
     ("bsd-2-clause", "bsd", r"(?:simplified|freebsd|2 clause|two clause) bsd|bsd 2(?: clause)?|bsd two clause"),
     ("bsd-3-clause", "bsd", r"(?:new|revised|modified|3 clause|three clause) bsd|bsd 3(?: clause)?|bsd three clause"),
     ("bsd-4-clause", "bsd", r"(?:original|old|4 clause|four clause) bsd|bsd 4(?: clause)?"),
@@ -56,9 +57,9 @@ FAMILIES = (
     ("epl-2", "eclipse", r"eclipse public(?: license)?(?: version| v)? 2(?: 0)?"),
     ("eupl-1.2", "european", r"european union public licen[cs]e(?: v| version)? ?1 [12]"),
     ("fdl-1.3", "documentation", r"(?:gnu )?free documentation(?: license)?(?: version)? 1 [123]"),
-    ("gpl-1", "gpl", r"gpl ?v?1(?: 0)?"),
-    ("gpl-2", "gpl", r"gpl ?v?2(?: 0)?"),
-    ("gpl-3", "gpl", r"gpl ?v?3(?: 0)?"),
+    ("gpl-1", "gpl|gpl1|gplv1", r"gpl ?v?1(?: 0)?"),
+    ("gpl-2", "gpl|gpl2|gplv2", r"gpl ?v?2(?: 0)?"),
+    ("gpl-3", "gpl|gpl3|gplv3", r"gpl ?v?3(?: 0)?"),
     ("gpl-2", "gnu", r"gnu general public(?: license)?(?: as published by the free software foundation)?(?: either)?(?: v| version)? ?2(?: 0)?"),
     ("gpl-3", "gnu", r"gnu general public(?: license)?(?: as published by the free software foundation)?(?: either)?(?: v| version)? ?3(?: 0)?"),
     ("gpl", "gnu", r"gnu (?:general public|gpl)"),
@@ -72,7 +73,7 @@ FAMILIES = (
     ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public(?: license)?(?: v| version)? ?2 1"),
     ("lgpl-3", "lesser", r"(?:gnu )?lesser general public(?: license)?(?: v| version)? ?3(?: 0)?"),
     ("lgpl-2", "library", r"(?:gnu )?library general public(?: license)?(?: v| version)? ?2(?: 0)?"),
-    ("lgpl", "lgpl", r"lgpl(?: ?v?[23](?: [01])?)?"),
+    ("lgpl", "lgpl|lgpl2|lgpl3|lgplv2|lgplv3", r"lgpl(?: ?v?[23](?: [01])?)?"),
     ("libpng", "libpng", r"*(?:zlib )?libpng"),
     ("lpl-1.02", "lucent", r"lucent public(?: license)?(?: version)? 1 02"),
     ("lppl-1.3", "latex", r"latex project public(?: license)?(?: version)? 1 3(?: [abc])?"),
@@ -84,7 +85,7 @@ FAMILIES = (
     ("ms-rl", "microsoft", r"microsoft reciprocal"),
     ("mulanpsl-2", "mulan", r"mulan permissive software(?: license)?(?: v| version)? ?2"),
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)?"),
-    ("odbl-1", "database", r"open (?:data commons )?(?:open )?database(?: license)?(?: v| version)? ?1(?: 0)?"),
+    ("odbl-1", "database|database1", r"open (?:data commons )?(?:open )?database(?: license)?(?: v| version)? ?1(?: 0)?"),
     ("odc-by-1", "commons", r"open data commons attribution(?: license)?(?: v)? ?1(?: 0)?"),
     ("ofl-1.1", "font", r"(?:sil )?open font(?: license)?(?: version)? 1 [01]"),
     ("openssl", "openssl", r"*openssl"),
@@ -111,7 +112,7 @@ FAMILIES = (
 #: Ways to name a license in words, as (priority, confidence, pattern), {} being the name.
 GRANT = r"(?:licen[cs]ed|released|distributed|redistributed|available|published|provided|covered|made available) (?:under|by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{}(?: (?:public )?licen[cs]e)?"
 WAYS = ((3, 0.95, GRANT), (2, 0.8, r"(?:the )?{} licen[cs]e"), (1, 0.5, r"{}"))
-#: Rules with wording of their own, as (label, keyword, priority, confidence, pattern).
+#: Rules with wording of their own, as (label, keywords, priority, confidence, pattern).
 TEXTS = (
     ("mit", "mit", 4, 1.0, r"(?:released |licensed |distributed )?under the mit licen[cs]e"),
     ("mit", "permission", 4, 1.0, r"permission is hereby granted free of charge to any person obtaining a copy(?: of this software)?"),
@@ -137,12 +138,12 @@ PRIORITIES = 4
 
 
 def rules() -> list[tuple[str, str, int, float, str]]:
-    """(label, keyword, priority, confidence, pattern) in order: the texts, then each family by each way to name it."""
+    """(label, keywords, priority, confidence, pattern) in order: the texts, then each family by each way to name it."""
     out = list(TEXTS)
     for priority, confidence, way in WAYS:
-        for label, keyword, name in FAMILIES:
+        for label, keywords, name in FAMILIES:
             if priority > 1 or name[0] != "*":
-                out.append((label, keyword, priority, confidence, way.replace("{}", f"(?:{name.lstrip('*')})")))
+                out.append((label, keywords, priority, confidence, way.replace("{}", f"(?:{name.lstrip('*')})")))
     return out
 
 
@@ -197,8 +198,8 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     pass through, empty tables stay empty.
     """
     listed = rules()
-    known = F.array(*(F.struct(F.lit(i).alias("rule"), *(F.lit(v).alias(n) for v, n in zip(r[:4], ("label", "keyword", "priority", "confidence"), strict=True)), F.lit(_whole(r[4])).alias("pattern")) for i, r in enumerate(listed)))
-    keywords = sorted({r[1] for r in listed})
+    known = F.array(*(F.struct(F.lit(i).alias("rule"), *(F.lit(v).alias(n) for v, n in zip((r[0], r[1].split("|"), *r[2:4]), ("label", "keywords", "priority", "confidence"), strict=True)), F.lit(_whole(r[4])).alias("pattern")) for i, r in enumerate(listed)))
+    keywords = sorted({k for r in listed for k in r[1].split("|")})
     out = docs.withColumn("__words", normal(F.col(text)))
     gate = F.array_distinct(F.regexp_extract_all("__words", F.lit(_whole("|".join(keywords))), F.lit(0)))
     out = out.withColumn("__keys", gate).withColumn("__n", _spaces(F.col("__words")) - 1)
@@ -215,7 +216,7 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     least, most = F.least(*(c[1] for c in counted)), F.greatest(*(c[2] for c in counted))
     out = out.withColumns({"n_words": F.col("__n").cast("bigint"), "n_base": sum((c[0] for c in counted), F.lit(0)).cast("bigint"), "first_word": least.cast("bigint"), "last_word": most.cast("bigint"), "base_labels": base})
     # The rules whose keywords stand in the text.
-    out = out.withColumn("__tried", F.when(F.size("__keys") > 0, F.filter(known, lambda r: F.array_contains("__keys", r["keyword"]))))
+    out = out.withColumn("__tried", F.when(F.size("__keys") > 0, F.filter(known, lambda r: F.arrays_overlap("__keys", r["keywords"]))))
     hits = F.flatten(F.transform("__tried", lambda r: F.transform(_places(F.col("__words"), r["pattern"]), lambda p: F.struct(p["start"].alias("start"), p["till"].alias("till"), r["rule"].alias("rule"), r["label"].alias("label"), r["priority"].alias("priority"), r["confidence"].alias("confidence")))))
     out = out.withColumn("__hits", F.when(F.size("__tried") > 0, hits))
     out = out.withColumn("__kept", F.when(F.size("__hits") > 0, _kept(F.col("__hits"))))

@@ -1,6 +1,7 @@
 """License scan, line dedup, decontamination, mixing."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -40,6 +41,51 @@ def test_there_are_hundreds_of_rules_and_each_finds_its_family(spark):
     assert got == ["mpl-2", "isc", "bsd-3-clause", "", "cc-by-sa", ""]
 
 
+def strings(pattern):
+    """Every string that a pattern matches: what looks ahead is left out, a free word is x, longer repeats come at their least."""
+
+    def of(tokens):
+        found = [""]
+        for op, arg in tokens:
+            op = str(op)
+            if op == "LITERAL":
+                some = [chr(arg)]
+            elif op == "IN":
+                some = ["x"] if str(arg[0][0]) == "NEGATE" else [chr(c) for kind, v in arg for c in ([v] if str(kind) == "LITERAL" else range(v[0], v[1] + 1))]
+            elif op == "NOT_LITERAL":
+                some = ["x"]
+            elif op == "BRANCH":
+                some = [x for branch in arg[1] for x in of(branch)]
+            elif op == "SUBPATTERN":
+                some = of(arg[3])
+            elif op == "MAX_REPEAT":
+                some = of(arg[2]) if arg[0] else ["", *of(arg[2])] if arg[1] == 1 else [""]
+            else:
+                assert op == "ASSERT_NOT", op
+                continue
+            found = [a + b for a in found for b in some]
+        return found
+
+    return of(re._parser.parse(pattern))
+
+
+def test_whatever_a_rule_matches_has_a_keyword_of_the_rule():
+    rules = [*((r[1], r[4]) for r in licenses.TEXTS), *((keywords, name.lstrip("*")) for _, keywords, name in licenses.FAMILIES)]
+    assert {r[1] for r in licenses.rules()} == {k for k, _ in rules}
+    named = [(keywords, x) for keywords, pattern in rules for x in strings(pattern)]
+    assert len(named) > 600
+    assert [(k, x) for k, x in named if not set(k.split("|")) & set(x.split())] == []
+
+
+def test_names_with_the_version_in_the_word_are_found(spark):
+    texts = {
+        "licensed under the GPLv3": ("gpl-3", 0.95), "GPLv2": ("gpl-2", 0.5), "the GPL3 license": ("gpl-3", 0.8), "released under GPLv1": ("gpl-1", 0.95), "licensed under the LGPLv3": ("lgpl", 0.95), "LGPL2.1": ("lgpl", 0.5),
+        "AGPLv3": ("agpl", 0.5), "under the 0BSD license": ("0bsd", 0.8), "Beerware": ("beerware", 0.5), "licensed under Apache2": ("apache-2", 0.95), "Open Database1.0": ("odbl-1", 0.5), "gplv9 xgplv3 gplv3x": ("", 0.0),
+    }
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [(r.labels, r.score) for r in got] == list(texts.values())
+
+
 def test_contained_detections_go(spark):
     def kept(*found):
         rows = [dict(zip(("start", "till", "rule", "label", "priority", "confidence"), f)) for f in found]
