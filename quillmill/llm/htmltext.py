@@ -22,11 +22,19 @@ CONTAINERS = frozenset("address article aside blockquote details dialog div dl f
 UNWANTED_TAGS = frozenset("aside dialog fieldset footer form header menu nav".split())
 MAIN_TAGS = frozenset("article main".split())
 #: Their content is no text of the page.
-SILENT_TAGS = frozenset("audio button canvas datalist head math noscript object select svg template video".split())
+SILENT_TAGS = frozenset("audio button canvas datalist head select svg template video".split())
+#: A class or id is unwanted if one of its tokens is such a name, alone or joined by hyphens only to other such names, furniture and numbers.
 UNWANTED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|sidebar|side|"
-    r"menus?|nav\w*|breadcrumbs?|header|masthead|topbar|footer|foot|comments?|commentlist|disqus|repl(?:y|ies)|respond|discussion|related|share|sharing|social|"
-    r"widgets?|toolbar|copyright|login|search\w*|paginat\w*|pager|skip|tags|form)(?:$|[\s_-])", re.I)
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|sidebar|side|"
+    r"menus?|nav|nav(?:bar|box|menu|igation)|breadcrumbs?|header|masthead|topbar|footer|foot|comments?|commentlist|disqus|repl(?:y|ies)|respond|related|share|sharing|social|"
+    r"widgets?|toolbar|copyright|login|search|search(?:bar|box|form)|paginat\w*|pager|skip|tags|form", re.I)
+FURNITURE_NAMES = re.compile(
+    r"[a-z]?\d+(?:x\d+)?|site|page|blog|article|post|entry|main|global|primary|secondary|top|bottom|left|right|upper|lower|bar|box|block|list|items?|links?|icons?|buttons?|btns?|"
+    r"area|slot|unit|section|posts|articles|stories|news|thread|user|reader|us|to|here", re.I)
+#: Unwanted containers in which articles are asides, teasers or readers' comments; in all others an article is wanted.
+FIRM_TAGS = frozenset("aside dialog footer menu nav".split())
+FIRM_NAMES = re.compile(r"comments?|commentlist|disqus|repl(?:y|ies)|respond|related", re.I)
+FIRM_ROLES = frozenset("navigation contentinfo complementary dialog menu".split())
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body)(?:$|[\s_-])", re.I)
 UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu form".split())
 
@@ -92,18 +100,30 @@ def classify(tree, row) -> int:
     return tree
 
 
-def _marks(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether a container is (unwanted, main)."""
-    unwanted, main = tag in UNWANTED_TAGS, tag in MAIN_TAGS
+def _unwanted_name(value: str) -> tuple[bool, bool]:
+    """Whether a class or an id names an unwanted container, and a firm one: with-sidebar, side-effects and related-work do not."""
+    found = []
+    for token in value.split():
+        parts = [x for x in re.split(r"[_-]+", token) if x]
+        names = [x for x in parts if UNWANTED_NAMES.fullmatch(x)]
+        if names and all(x in names or FURNITURE_NAMES.fullmatch(x) for x in parts):
+            found += names
+    return bool(found), any(map(FIRM_NAMES.fullmatch, found))
+
+
+def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool]:
+    """Whether a container is (unwanted, firmly so, main)."""
+    unwanted, firm, main = tag in UNWANTED_TAGS, tag in FIRM_TAGS, tag in MAIN_TAGS
     for name, *values in ATTR.findall(attrs):
         name, value = name.lower(), next(filter(None, values), "")
         if name == "role":
-            unwanted, main = unwanted or value.lower() in UNWANTED_ROLES, main or value.lower() == "main"
+            unwanted, firm, main = unwanted or value.lower() in UNWANTED_ROLES, firm or value.lower() in FIRM_ROLES, main or value.lower() == "main"
         elif name == "hidden":
             unwanted = True
         elif tag not in MAIN_TAGS:
-            unwanted, main = unwanted or bool(UNWANTED_NAMES.search(value)), main or bool(MAIN_NAMES.search(value))
-    return unwanted, main and not unwanted
+            u, f = _unwanted_name(value)
+            unwanted, firm, main = unwanted or u, firm or f, main or bool(MAIN_NAMES.search(value))
+    return unwanted, firm, main and not unwanted
 
 
 def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
@@ -111,11 +131,12 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
 
     Inline tags leave no trace, a single line break is white space, two of them end a block. Tags may be left open:
     a closing tag ends the containers that were opened within its own, and one that was never opened is ignored.
+    A main element is not unwanted for what it stands in, an article only for what is firmly so, unless that is within another of them.
     """
     out, text, links = [], [], []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, int, int, int, int]] = []  # with main, unwanted, firm and within as they were outside
     in_link, silent, breaks, at = False, "", 0, 0
-    main = unwanted = 0
+    main = unwanted = firm = within = 0
 
     def flush() -> None:
         words = "".join(text).split()
@@ -157,14 +178,18 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
             flush()
             breaks = 0
             if tag in CONTAINERS and not closing:
-                u, k = _marks(tag, m["attrs"])
-                stack.append((tag, u, k))
-                unwanted, main = unwanted + u, main + k
+                u, f, k = _marks(tag, m["attrs"])
+                stack.append((tag, main, unwanted, firm, within))
+                if tag in MAIN_TAGS:
+                    if not within:
+                        firm = firm if tag == "article" else 0
+                        unwanted = firm
+                    within += 1
+                unwanted, firm, main = unwanted + u, firm + f, main + k
             elif tag in CONTAINERS and any(x[0] == tag for x in stack):
                 in_link, x = False, ""
                 while x != tag:
-                    x, u, k = stack.pop()
-                    unwanted, main = unwanted - u, main - k
+                    x, main, unwanted, firm, within = stack.pop()
     if not silent:
         add(html_entities.unescape(page[at:]))
     flush()

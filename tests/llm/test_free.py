@@ -34,6 +34,42 @@ def test_main_text_of_odd_pages(page, want):
     assert htmltext.main_text(page) == want
 
 
+@pytest.mark.parametrize("wrapper", [
+    "div class='layout with-sidebar'", "div class=no-sidebar", "div id='page' class='has-sidebar'", "div class=fixed-header", "div class='layout sidebar'", "div class='modal'", "form id=aspnetForm", "div hidden", "section class='side-effects'",
+])
+@pytest.mark.parametrize("part", ["article", "main"])
+def test_an_article_is_wanted_whatever_it_stands_in(wrapper, part):
+    tag = wrapper.split()[0]
+    page = f"<{wrapper}><nav>Menu</nav><{part}><h1>Head</h1><p>Text</p><aside>More</aside><p>End</p></{part}><p>Beside</p></{tag}><footer>Foot</footer>"
+    assert htmltext.main_text(page) == "Head\nText\nEnd"
+
+
+@pytest.mark.parametrize("name", ["discussion", "related-work", "side-effects", "search-algorithms", "with-sidebar", "no-ads", "ad-hoc-networks", "navier-stokes", "has-comments", "chocolate-cookies", "fixed-header"])
+@pytest.mark.parametrize("attribute", ["id", "class"])
+def test_sections_of_an_article_are_kept(name, attribute):
+    assert htmltext.main_text(f"<article><p>One</p><div {attribute}='{name}'><p>Two</p></div><p>Three</p></article>") == "One\nTwo\nThree"
+
+
+@pytest.mark.parametrize("name", ["ad", "ads", "ad-slot", "ad_300x250", "sidebar", "left-sidebar", "related", "related-posts", "share-buttons", "cookie-notice", "newsletter-signup", "site-header", "post-comments", "x comments", "navigation", "search-form", "advertisement"])
+def test_unwanted_sections_of_an_article_go(name):
+    assert htmltext.main_text(f"<article><p>One</p><div class='{name}'><p>Two</p></div><p>Three</p></article>") == "One\nThree"
+
+
+def test_marks_within_an_article_hold_for_articles_in_it():
+    page = "<article><p>One</p><div id=comments><article>Two</article></div><div id=related><div><article>Three</article></div></div><p>Four</p></article><div class=sidebar>Five</div>"
+    assert htmltext.main_text(page) == "One\nFour"
+
+
+@pytest.mark.parametrize("wrapper", ["div id=comments", "aside", "footer", "div class=related-posts", "div role=complementary"])
+def test_teasers_and_comments_beside_an_article_go(wrapper):
+    assert htmltext.main_text(f"<article>One</article><{wrapper}><article>Two</article></{wrapper.split()[0]}><div class=widget><p>Three</p></div>") == "One"
+
+
+def test_formulas_and_what_stands_in_for_scripts_and_objects_are_text():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p><noscript><p>No script</p></noscript><object data=a>An object</object></article>"
+    assert htmltext.main_text(page) == "Let x=1 be.\nNo script\nAn object"
+
+
 def test_pages_without_a_marked_part_go_by_words_and_links():
     page = "<div><a href=a>x</a> <a href=b>y</a></div><p>" + "word " * 40 + "</p><p>" + "more " * 30 + "</p><div><a href=c>Contact us</a></div>"
     assert htmltext.main_text(page) == " ".join(["word"] * 40) + "\n" + " ".join(["more"] * 30)
