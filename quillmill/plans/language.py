@@ -43,6 +43,10 @@ def _asked(spark, sf_dir):
     return _cases(spark, sf_dir).select(F.col("error_word").alias("word")).union(inline(spark, [("The",), ("Ünd",), ("qqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqqq",)], "word string"))
 
 
+def _single(checked):
+    return checked.select("word", "exists_in_vocab", "word_frequency", "correction", "distance", F.coalesce(F.array_join(F.transform("alternatives", lambda a: a["candidate"]), ","), F.lit("")).alias("alternatives"))
+
+
 def _results(spark):
     return evaluate.judged(inline(spark, RESULTS, "input string, expected string, predicted string, error_type string"), "predicted", "expected")
 
@@ -86,7 +90,11 @@ QUERIES = {
     "fuzzy_lookup": lambda s, d: spell.nearest(spell.candidates(_low(s, d), _frequent(s, d), 2)),
     "spell_cascade": lambda s, d: spell.correct(_asked(s, d), _vocab(s, d), 4),
     "alternatives": lambda s, d: spell.alternatives(_asked(s, d), _frequent(s, d), 1),
-    "single_check": lambda s, d: spell.check(_asked(s, d), _frequent(s, d), 1).select("word", "exists_in_vocab", "word_frequency", "correction", "distance", F.coalesce(F.array_join(F.transform("alternatives", lambda a: a["candidate"]), ","), F.lit("")).alias("alternatives")),
+    "single_check": lambda s, d: _single(spell.check(_asked(s, d), _frequent(s, d), 1)),
+    # The same over all words at the operators' own radius: without SQL.
+    "fuzzy_lookup_full": lambda s, d: spell.nearest(spell.candidates(_low(s, d), _vocab(s, d), 4)),
+    "alternatives_full": lambda s, d: spell.alternatives(_asked(s, d), _vocab(s, d)),
+    "single_check_full": lambda s, d: _single(spell.check(_asked(s, d), _vocab(s, d))),
     "batch_check": lambda s, d: spell.check_texts(read(s, d, "benchmark", "text"), _vocab(s, d), 3),
     "batch_check_tally": lambda s, d: spell.tally(spell.check_texts(read(s, d, "benchmark", "text"), _vocab(s, d), 3)),
     "spell_accuracy": lambda s, d: evaluate.accuracy(_results(s)),

@@ -1,4 +1,4 @@
-from collections import Counter
+from collections import Counter, defaultdict
 import math
 
 import pytest
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.text import normalised_tokens
 from quillmill.operators import bpe, corpus, evaluate, ingest, segments, spell
+from quillmill.plans import language
 
 
 @pytest.fixture(scope="module")
@@ -161,3 +162,33 @@ def test_segments_in_long_form(spark):
     stats = {(r.text_type, r.method): r for r in segments.statistics(segments.measured(got)).collect()}
     assert (stats["original", "basic"].total_segments, stats["original", "basic"].avg_segments) == (2, 1.0)
     assert stats["modern", "poetry_aware"].total_segments == 2
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_full_lookups_are_those_of_a_scan_of_all_words(spark, data):
+    vocab = {r.word: r.freq for r in language._vocab(spark, data).collect()}
+    low = {r.word: r.low for r in language._low(spark, data).collect()}
+    some = [*sorted(w for w in low if low[w] not in vocab)[::17][:14], "The", "q" * 53]
+    near = {w: sorted((d, -vocab[c], c) for c in vocab if (d := edits(low[w], c) if abs(len(c) - len(low[w])) <= 4 else 9) <= 4) for w in some}
+    got = defaultdict(list)
+    for r in language.QUERIES["alternatives_full"](spark, data).orderBy("word", "rank").collect():
+        got[r.word].append((r.distance, -r.freq, r.candidate))
+    assert {w: got[w] for w in some} == {w: n[:5] for w, n in near.items()}
+    assert any(d > 2 for n in near.values() for d, _, _ in n[:5])
+    nearest = {r.word: (r.distance, -r.freq, r.correction) for r in language.QUERIES["fuzzy_lookup_full"](spark, data).where(F.col("word").isin(some)).collect()}
+    assert nearest == {w: n[0] for w, n in near.items() if n}
+    checked = {r.word: r for r in language.QUERIES["single_check_full"](spark, data).where(F.col("word").isin(some)).collect()}
+    assert set(checked) == set(some)
+    for w, r in checked.items():
+        if r.distance is None:
+            assert r.alternatives == ",".join(c for _, _, c in near[w][:5]) and all(d > 3 for d, _, _ in near[w])
+        elif r.distance >= 1:
+            assert (r.distance, r.correction.lower()) == (near[w][0][0], near[w][0][2].lower()) and r.distance <= 3
