@@ -45,31 +45,35 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", wei
     Whole epochs are taken of a source while its budget lasts, then documents in the order of their keys, the last one
     in part. Null texts and texts without words have size 0 and nothing taken. A null source is a source, the last one.
     Rows that repeat each other share a key and follow one another, so what they take together is defined, and which of
-    them is cut is the same to any reader. Reruns agree. Empty tables stay empty; other columns pass through, and take
-    part in nothing but the order of rows with equal keys.
+    them is cut is the same to any reader. Reruns agree. Long texts are counted whole. Empty tables stay empty. Columns named
+    size, source_size, target and taken are replaced, others pass through whatever their names.
     """
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *(c for c in dict.fromkeys(["doc_id", source, text]) if c in docs.columns)), 1)
     keyed = docs.withColumns({"size": size_of(F.col(text)), "__key": key})
     small = settle(keyed.select(F.col(source).alias("source"), "size", "__key"))
     per_source = targets(small.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, share, most)
-    per_source = per_source.withColumn("n", F.ceil(F.sqrt("n")))
-    in_range = F.floor(F.col("__key") / F.lit(float(2**63)) * F.col("n"))
-    ranged = small.join(per_source.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).withColumn("range", in_range)
+    per_source = per_source.select(F.col("source").alias("__source"), "source_size", "target", F.ceil(F.sqrt("n")).alias("__n"), F.col("budget").alias("__budget"))
+    in_range = F.floor(F.col("__key") / F.lit(float(2**63)) * F.col("__n"))
+    ranged = small.join(per_source.select("__source", "__n"), F.col("source").eqNullSafe(F.col("__source"))).withColumn("range", in_range)
     sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("sum"))
     upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("__s"), F.col("range").alias("__r"), F.coalesce(F.sum("sum").over(upto), F.lit(0)).alias("__before"))
-    keyed = keyed.drop("source_size", "target", "taken").join(per_source.withColumnRenamed("source", "__source"), F.col(source).eqNullSafe(F.col("__source"))).withColumn("__range", in_range)
+    keyed = keyed.drop("source_size", "target", "taken").join(per_source, F.col(source).eqNullSafe(F.col("__source"))).withColumn("__range", in_range)
     within = Window.partitionBy(source, "__range").orderBy("__key", "size").rowsBetween(Window.unboundedPreceding, -1)
     out = keyed.withColumn("__within", F.coalesce(F.sum("size").over(within), F.lit(0)))
     out = out.join(sums, F.col(source).eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0)
-    rest = F.col("budget") - epochs * F.col("source_size") - F.col("__before") - F.col("__within")
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("__budget") / F.col("source_size"))).otherwise(0)
+    rest = F.col("__budget") - epochs * F.col("source_size") - F.col("__before") - F.col("__within")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return out.withColumn("taken", taken.cast("bigint")).drop("__key", "__range", "__within", "__before", "__s", "__r", "__source", "n", "budget")
+    return out.withColumn("taken", taken.cast("bigint")).drop("__key", "__range", "__within", "__before", "__s", "__r", "__source", "__n", "__budget")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the documents that the mix takes something of, with what it takes."""
+    """Last pipeline stage: the documents that the mix takes something of, with what it takes, and all columns of docs.
+
+    As for mix_sources(): null and empty texts go, as nothing is taken of them; rows that repeat each other are judged one
+    by one; columns of its own names are replaced, others pass through; an empty table stays empty.
+    """
     return mix_sources(docs).where("taken > 0")
 
 

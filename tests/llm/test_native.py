@@ -225,6 +225,18 @@ def test_mix_of_little_and_nothing(spark):
     assert (one.target, one.taken) == (6.0, 6)
 
 
+def test_mix_takes_tables_with_any_columns(spark):
+    names = ["n", "budget", "limit", "target", "ratio", "weight", "level", "full", "range", "sum", "source_size", "s", "all", "N_", "taken"]
+    rows = [(i, "ab"[i % 2], "x y z " * (i % 5)) for i in range(40)]
+    plain = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    wide = plain.withColumns({c: F.lit(f"own {c}") for c in names})
+    got = mixing.mix_sources(wide)
+    assert set(got.columns) == {*wide.columns, "size", "source_size", "target", "taken"} and len(got.columns) == len(set(got.columns))
+    assert {(r.doc_id, r.target, r.taken) for r in got.collect()} == {(r.doc_id, r.target, r.taken) for r in mixing.mix_sources(plain).collect()}
+    assert {(r.n, r.budget, r.limit) for r in got.collect()} == {("own n", "own budget", "own limit")}
+    assert mixing.stage(spark, wide, "").where("text = '' OR taken = 0").count() == 0 == mixing.stage(spark, wide.limit(0), "").count()
+
+
 def test_mix_over_many_ranges_is_one_running_sum(spark):
     rows = [(i, "s", t) for i, t in enumerate(made_texts(400, seed=9))]
     out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string"), share=0.3).collect()
