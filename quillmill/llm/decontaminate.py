@@ -3,6 +3,8 @@
 Texts are lower-cased to words. A mask lays a pattern over consecutive words and ignores some of them, so a hash of the
 others still matches where an ignored word was replaced. Hashes of benchmark items and of documents are joined; around
 each hit the item is laid on the document and the best stretch of equal words, single substitutions allowed, is counted.
+Of hits that follow each other on one diagonal only the first is looked at, and long items are laid on in pieces, so
+that work and broadcasts grow with the words of an item and not with their square.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ LEAST_WORDS = 8
 ENOUGH_WORDS, ENOUGH_SHARE = 13, 0.7
 #: What a replaced word costs against an equal one when the best stretch is sought.
 PENALTY = 2
-#: Seeds of benchmark items that are broadcast at once; a larger benchmark goes in blocks of its items.
-BLOCK_SEEDS = 500_000
+#: Longer items are laid on in pieces of so many words, each with so many of its neighbours' on either side.
+PIECE, MARGIN = 256, 64
+#: Seeds of benchmark items that are broadcast at once, some 50 bytes each with the pieces; a larger benchmark goes in blocks of pieces.
+BLOCK_SEEDS = 1_000_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -30,7 +34,7 @@ def word_hashes(text: Column) -> Column:
 
 
 def _seeds(h: str, at: str) -> Column:
-    """Array of the seeds, one for each mask, of the words from a place on."""
+    """Array of the seeds, one for each mask, of the words from a place on; null where the mask reaches too far."""
     def one(k: int, mask: str) -> Column:
         picked = [F.get(h, F.col(at) + o) for o, bit in enumerate(mask) if bit == "1"]
         return F.when(F.col(at) + len(mask) <= F.size(h), F.xxhash64(F.lit(k), *picked))
@@ -38,12 +42,18 @@ def _seeds(h: str, at: str) -> Column:
     return F.array(*(one(k, m) for k, m in enumerate(MASKS)))
 
 
-def _seeded(df: DataFrame, h: str, at: str) -> DataFrame:
-    """A row for each place and mask. Everything up to the join stays in one generated stage, where h is a pointer: only hits are copied."""
+def _placed(df: DataFrame, h: str, at: str) -> DataFrame:
     least = min(map(len, MASKS))
     places = F.when(F.size(h) >= least, F.sequence(F.lit(0), F.size(h) - least))
-    placed = df.withColumn(at, F.explode_outer(places))  # an inner one would bring a filter that splits the texts once more
-    return placed.withColumn("seed", F.explode(_seeds(h, at))).where("seed IS NOT NULL")
+    return df.withColumn(at, F.explode_outer(places))  # an inner one would bring a filter that splits the texts once more
+
+
+def _pieces(items: DataFrame) -> DataFrame:
+    """(piece, item_id, n_item, base, own, words): the words of each piece and its margins; base is the place of the first, own that from which the piece is asked for."""
+    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("item_h") - 1), F.lit(PIECE)))
+    cut = items.distinct().withColumn("own", starts).withColumn("base", F.greatest(F.lit(0), F.col("own") - MARGIN))
+    words = F.slice("item_h", F.col("base") + 1, F.col("own") - F.col("base") + PIECE + MARGIN)
+    return cut.select(F.xxhash64("item_id", "item_h", "own").alias("piece"), "item_id", F.size("item_h").alias("n_item"), "base", "own", words.alias("words"))
 
 
 def _best(equal: Column) -> Column:
@@ -64,31 +74,44 @@ def _best(equal: Column) -> Column:
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", block_seeds: int = BLOCK_SEEDS) -> DataFrame:
     """doc_id, item_id, first_word (in the document), n_aligned, n_match, n_item (long): the best overlap of each leaking pair.
 
-    The seeds of the items are counted first. Up to block_seeds of them are broadcast; more go in blocks of items, each
-    broadcast in its turn against all documents. Null and empty texts, and items under LEAST_WORDS words, have no overlaps.
-    Rows that repeat an id give one row for each pair of ids; null ids are ids like any other. Ties between overlaps
-    go to the first in the document. Long texts are searched whole; other columns are not read; empty tables give no rows.
+    The words of the items are counted first: seeds and pieces are broadcast if there are up to block_seeds seeds; more go
+    in blocks of pieces, each broadcast in its turn against all documents. Overlaps are those within a piece and its
+    margins: of an item of over PIECE words n_aligned may thus be less than what a whole copy shares, a leak all the same.
+    Null and empty texts, and items under LEAST_WORDS words, have no overlaps. Rows that repeat an id give one row for each
+    pair of ids; null ids are ids like any other. Ties between overlaps go to the first in the document. Long texts and
+    items are searched whole; other columns, whatever their names, are not read; empty tables give no rows.
     """
     mine = items.select(F.col(item_id).alias("item_id"), word_hashes(F.col(text)).alias("item_h")).where(F.size("item_h") >= LEAST_WORDS)
     n = mine.agg(F.sum(F.size("item_h") * len(MASKS))).first()[0] or 0
     blocks = -(-n // block_seeds) or 1
     words = docs.select(F.col(doc_id).alias("doc_id"), word_hashes(F.col(text)).alias("h"))
-    out = None
+    pieces, out = _pieces(mine), None
     for b in range(blocks):
-        part = mine.where(F.pmod(F.xxhash64("item_id", "item_h"), F.lit(blocks)) == b) if blocks > 1 else mine
-        found = _against(words, part)
+        found = _against(words, pieces.where(F.pmod(F.xxhash64("piece"), F.lit(blocks)) == b) if blocks > 1 else pieces)
         out = found if out is None else out.unionByName(found)
     best = F.max_by(F.struct("first_word", "n_aligned", "n_match", "n_item"), F.struct("n_match", -F.col("first_word"), "n_item", -F.col("n_aligned")))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
-def _against(words: DataFrame, items: DataFrame) -> DataFrame:
-    seeds = _seeded(items, "item_h", "item_at").select("seed", "item_id", "item_at", "item_h")
-    hits = _seeded(words, "h", "at").join(F.broadcast(seeds), "seed")
+def _follows() -> Column:
+    """Whether the place before a hit is surely a hit of the same mask and piece: what a mask laid one word earlier would compare beyond the hit's own words is equal."""
+    bits = [{o for o, bit in enumerate(m) if bit == "1"} for m in MASKS]
+    same = (F.col("at") > 0) & (F.col("base") + F.col("item_at") > F.col("own"))
+    for o in sorted(set().union(*({x - 1 for x in b} - b for b in bits))):
+        same = same & F.coalesce(F.get("h", F.col("at") + o) == F.get("words", F.col("item_at") + o), F.lit(False))
+    return same
+
+
+def _against(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Overlaps of enough equal words. Up to the hits everything stays in one generated stage, where h is a pointer: only hits are copied."""
+    at = F.col("base") + F.col("item_at")
+    asked = _placed(pieces.select("piece", "base", "own", "words"), "words", "item_at").where((at >= F.col("own")) & (at < F.col("own") + PIECE))
+    seeds = asked.select("piece", "item_at", F.explode(_seeds("words", "item_at")).alias("seed")).where("seed IS NOT NULL")
+    sought = _placed(words, "h", "at").withColumn("seed", F.explode(_seeds("h", "at"))).where("seed IS NOT NULL")
+    hits = sought.join(F.broadcast(seeds), "seed").join(F.broadcast(pieces), "piece").where(~_follows())
     shift = F.col("at") - F.col("item_at")
-    skipped = F.greatest(F.lit(0), -shift)
-    hits = hits.select("doc_id", "item_id", F.greatest(F.lit(0), shift).alias("start"), F.size("item_h").alias("n_item"),
-                       F.slice("h", F.greatest(F.lit(0), shift) + 1, F.size("item_h") - skipped).alias("mine"), F.slice("item_h", skipped + 1, F.size("item_h")).alias("theirs"))
+    start, skipped = F.greatest(F.lit(0), shift), F.greatest(F.lit(0), -shift)
+    hits = hits.select("doc_id", "item_id", "n_item", start.alias("start"), F.slice("h", start + 1, F.size("words") - skipped).alias("mine"), F.slice("words", skipped + 1, F.size("words")).alias("theirs"))
     equal = F.zip_with("mine", "theirs", lambda a, b: F.coalesce(a == b, F.lit(False)))
     found = hits.withColumn("b", F.explode(F.array(_best(equal))))  # else the filter moves into the join, which then runs without generated code
     enough = F.least(F.lit(ENOUGH_WORDS), F.ceil(F.col("n_item") * ENOUGH_SHARE))
@@ -98,7 +121,11 @@ def _against(words: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that leak a benchmark item go."""
+    """Pipeline stage: documents that leak a benchmark item go, as find_leaks() tells; all others stay as they are, with all their columns.
+
+    Null and empty texts leak nothing and stay; rows that repeat an id go or stay together, null ids among them; an empty
+    table gives an empty one, an empty benchmark takes nothing away.
+    """
     from quillmill.llm.common import read
 
     leaks = find_leaks(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__leak")).distinct()

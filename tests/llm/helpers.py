@@ -65,6 +65,32 @@ def dedup(docs):
     return {d: (len(t.split("\n")), len(cut[d]), "\n".join(x for i, x in enumerate(t.split("\n")) if i not in cut[d])) if t is not None else (0, 0, None) for d, t in docs}
 
 
+def leaks(docs, items, masks, least=8, enough=13, share=0.7, penalty=2, piece=256, margin=64):
+    """(doc_id, item_id) -> (first_word, n_aligned, n_match, n_item), every diagonal of every pair that a mask hits laid out word by word."""
+    out = {}
+    for d, text in docs:
+        w = plain_words(text)
+        for i, item in items:
+            v = plain_words(item)
+            if len(v) < least:
+                continue
+            hits = {(own, a - b) for m in masks for own in range(0, len(v), piece) for b in range(own, min(own + piece, len(v) - len(m) + 1)) for a in range(len(w) - len(m) + 1) if all(x == "0" or w[a + o] == v[b + o] for o, x in enumerate(m))}
+            for own, shift in hits:
+                lo, hi = max(0, own - margin), min(len(v), own + piece + margin)
+                best, now, start, same = None, 0, None, 0
+                for b in range(max(lo, -shift), min(hi, len(w) - shift)):
+                    if now <= 0:
+                        now, start, same = 0, b, 0
+                    now += 1 if w[b + shift] == v[b] else -penalty
+                    same += w[b + shift] == v[b]
+                    if best is None or now > best[0]:
+                        best = now, start, b + 1, same
+                if best[3] >= min(enough, -(-7 * len(v) // 10)):
+                    row = best[3], -(best[1] + shift), len(v), -(best[2] - best[1])
+                    out[d, i] = max(out.get((d, i), row), row)
+    return {k: (-f, -n, m, size) for k, (m, f, size, n) in out.items()}
+
+
 def made_texts(n, seed=1, size=60, vocabulary=400):
     """n texts of random words, near copies of some among them."""
     r = random.Random(seed)

@@ -5,7 +5,7 @@ import re
 from collections import defaultdict
 
 import pytest
-from helpers import dedup, made_texts, plain_words, words
+from helpers import dedup, leaks, made_texts, plain_words, words
 from pyspark.sql import functions as F
 
 from quillmill.llm import decontaminate, licenses, linededup, mixing
@@ -163,6 +163,43 @@ def test_leaks_are_found_with_words_replaced_and_no_others(spark, block):
         assert len(set(here) & set(items[r.item_id].split())) >= r.n_match * 0.9
 
 
+def test_overlaps_are_those_of_a_plain_aligner(spark, monkeypatch):
+    docs, items, _ = leak_docs()
+    r = random.Random(9)
+    long = [f"l{r.randrange(900)}" for _ in range(260)]
+    items |= {100: " ".join(long), 101: " ".join(["same"] * 90), 102: "a b a b a b a b a b a b a b c"}
+    docs |= {100: " ".join(long), 101: " ".join(long[40:95]) + " x " + " ".join(long[:30]), 102: "same " * 150, 103: "b a b a b a b a b a b a b a b a b c", 104: " ".join(w if k % 9 else "zzz" for k, w in enumerate(long))}
+    for piece, margin in ((256, 64), (40, 25)):
+        monkeypatch.setattr(decontaminate, "PIECE", piece)
+        monkeypatch.setattr(decontaminate, "MARGIN", margin)
+        got = decontaminate.find_leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+        found = {(x.doc_id, x.item_id): (x.first_word, x.n_aligned, x.n_match, x.n_item) for x in got.collect()}
+        assert found == leaks(docs.items(), items.items(), decontaminate.MASKS, piece=piece, margin=margin)
+        assert {d for d, i in found if i == 100} == {100, 101, 104}
+
+
+def test_items_of_any_length_are_laid_on_in_pieces(spark):
+    r = random.Random(2)
+    item = " ".join(f"w{r.randrange(5000)}" for _ in range(20_000))
+    docs = [(1, item), (2, " ".join(item.split()[250:270])), (3, "x " * 20_000), (4, " ".join(item.split()[-15:]))]
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item), (1, item)], "item_id long, text string"))
+    found = {x.doc_id: (x.first_word, x.n_aligned, x.n_match, x.n_item) for x in got.collect()}
+    assert found == {1: (192, 384, 384, 20_000), 2: (0, 20, 20, 20_000), 4: (0, 15, 15, 20_000)}
+
+
+def test_decontamination_stage_of_odd_rows(spark):
+    leak = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    rows = [(1, leak, "a", 9), (1, leak, "b", 9), (None, leak, "c", 9), (None, leak, "d", 9), (2, None, "e", 9), (3, "", "f", 9), (4, "fine", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string, n_match int")
+    path = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/leaks"
+    spark.createDataFrame([(7, leak)], "item_id long, text string").write.mode("overwrite").parquet(f"{path}/benchmark.parquet")
+    assert sorted(r.doc_id for r in decontaminate.stage(spark, docs, path).collect()) == [2, 3, 4]
+    assert decontaminate.stage(spark, docs, path).columns == docs.columns
+    assert decontaminate.stage(spark, docs.limit(0), path).count() == 0
+    spark.createDataFrame([], "item_id long, text string").write.mode("overwrite").parquet(f"{path}/benchmark.parquet")
+    assert decontaminate.stage(spark, docs, path).count() == len(rows)
+
+
 def test_short_and_unlike_items_leak_nothing(spark):
     d = spark.createDataFrame([(1, "one two three four five six seven"), (None, "a b c d e f g h i j")], "doc_id long, text string")
     i = spark.createDataFrame([(1, "one two three four five six seven"), (None, "a b c d e f g h i j"), (2, "a x c x e x g x i x")], "item_id long, text string")
