@@ -200,6 +200,15 @@ def test_join_of_repeated_ids_null_ids_and_nothing(spark):
     assert ngramjoin.similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_join_takes_integer_ids_only(spark):
+    docs = spark.createDataFrame([("a", "x y"), ("b", "x y")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="ids are integers"):
+        ngramjoin.similar_groups(docs)
+    for kind in ("smallint", "decimal(10,0)"):
+        ints = spark.createDataFrame([(1, "x y"), (2, "X  y")], "doc_id int, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        assert {(r.doc_id, r.component_id) for r in ngramjoin.similar_groups(ints).collect()} == {(1, 1), (2, 1)}
+
+
 def test_divide_skip_finds_what_a_scan_finds():
     r = np.random.default_rng(3)
     sets = []
