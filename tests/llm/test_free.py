@@ -273,11 +273,75 @@ def test_viterbi_finds_the_best_labels():
     assert field.decode(np.zeros((0, len(quality.FEATURES)))).tolist() == []
 
 
-def test_a_fitted_field_tells_held_out_documents_apart(spark, data):
-    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
-    held = quality.judge_quality(docs.where("doc_id % 3 = 0"), quality.sample_field(docs.where("doc_id % 3 <> 0"), labels)).join(labels, "doc_id").where("NOT base_failed")
-    rows = [(r.quality, r.kept) for r in held.select("quality", "kept").collect()]
-    assert len(rows) > 10 and sum(bool(q) == k for q, k in rows) / len(rows) > 0.9
+def test_marginals_are_those_of_all_labelings():
+    r = np.random.default_rng(2)
+    texts = [r.normal(size=(n, 3)) for n in (5, 1, 4, 7)]
+    c = quality.Chains.of(texts, 4)
+    w, t = r.normal(size=3), r.normal(size=(2, 2))
+    gain = c.x @ w
+    single, pair = quality._marginals(np.stack([np.zeros_like(gain), gain], -1), t, c)
+    assert len(c.x) == 17 and sorted(c.text.tolist()) == [0] * 5 + [1] + [2] * 4 + [3] * 7
+    for k in range(c.chain.max() + 1):
+        on = np.flatnonzero(c.chain == k)
+        n = len(on)
+        ways = [tuple(int(b) for b in f"{i:0{n}b}") for i in range(2**n)]
+        score = np.exp([sum(g for g, y in zip(gain[on], ys) if y) + sum(t[a, b] for a, b in zip(ys, ys[1:])) for ys in ways])
+        share = score / score.sum()
+        for j in range(n):
+            assert single[on[j], 1] == pytest.approx(sum(p for p, ys in zip(share, ways) if ys[j]))
+            if j + 1 < n:
+                assert pair[on[j], 0, 1] == pytest.approx(sum(p for p, ys in zip(share, ways) if ys[j : j + 2] == (0, 1)))
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    """Documents of sf0.01 with their labels, and a field of two thirds of them."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    field = quality.sample_field(docs.where("doc_id % 3 <> 0"), labels)
+    return [(r.quality, *quality.describe(r.text), r.text) for r in docs.where("doc_id % 3 = 0").join(labels, "doc_id").select("quality", "text").collect()], field
+
+
+def test_a_fitted_field_tells_held_out_documents_apart(labelled):
+    rows, field = labelled
+    rows = [(q, field.content_share(x, sizes) >= quality.CONTENT_SHARE) for q, counts, x, sizes, _ in rows if counts["n_words"] >= 50 and 2 * counts["n_repeat_words"] <= counts["n_words"]]
+    assert len(rows) > 80 and sum(bool(q) == k for q, k in rows) / len(rows) > 0.97
+
+
+def test_lines_of_one_document_get_both_labels(labelled):
+    rows, field = labelled
+    shares = [field.content_share(x, sizes) for q, _, x, sizes, _ in rows if q == 0 and len(sizes) > 2]
+    assert sum(0 < s < 1 for s in shares) >= 0.4 * len(shares) > 2
+    junk = "\n".join(["Menu*** home### about%%% terms$$$ login&&&"] * 3 + ["home | about | terms | login | help | more |"] * 3)
+    good = [t for q, counts, _, _, t in rows if q == 1 and 3 < len(t.split("\n")) < 12 and counts["n_words"] > 80][:20]
+    assert len(good) > 8
+    right = total = 0
+    for text in good:
+        for made, n_before in ((junk + "\n" + text, 6), (text + "\n" + junk, 0)):
+            counts, x, sizes = quality.describe(made)
+            want = np.array([0] * n_before + [1] * (len(sizes) - 6) + [0] * (6 - n_before))
+            right, total = right + (field.decode(x) == want).sum(), total + len(want)
+            assert 0 < field.content_share(x, sizes) < 1
+    assert right / total > 0.9
+
+
+def test_the_sample_is_bounded_by_lines_and_takes_documents_whole(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "\n".join(["a line of words here"] * (i + 1)), 1) for i in range(40)], "doc_id long, text string, n int")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_field", lambda xs, ys: seen.append([len(x) for x in xs]))
+    for lines in (100_000, 200):
+        quality.sample_field(docs, labels, lines=lines)
+    assert sorted(seen[0]) == list(range(1, 41)) and sum(seen[1]) <= 200 and seen[1] == seen[0][: len(seen[1])] and len(seen[1]) > 2
+
+
+def test_quality_stage_keeps_columns_and_rows(spark, tmp_path):
+    good = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, good, "en", 5), (1, good, "en", 5), (2, None, "en", 0), (3, "", "x", 0), (None, good, None, 1), (4, "short", "en", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, n_words int")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = quality.stage(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and sorted((r.doc_id or 0, r.kept, r.n_words) for r in got.collect()) == [(0, None, 1), (1, "en", 5), (1, "en", 5)]
+    assert quality.stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
 def test_without_labels_of_both_kinds_the_default_stays(spark):
