@@ -1,8 +1,10 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
-A page is cut to blocks at block-level tags. A block is described by its words, its share of words in links, the same of
-its neighbours, and the kind of container it stands in. A decision tree, grown here from a small labelled table, says
-which blocks are main text; these are joined in page order.
+A page is cut to flat blocks at block-level tags. Blocks in containers that are named or tagged as menus, adverts and the
+like go first. The others are described by their words, their share of words in links, the same of both neighbours, and
+whether they stand in a part that is marked as the main one, if the page has any. A decision tree, grown here from a
+small labelled table, says which of them are main text; these are joined in page order. On pages without marks the tree
+has nothing but words, links and neighbours to go by.
 """
 
 import html as html_entities
@@ -21,6 +23,7 @@ BLOCK_TAGS = frozenset(
 CONTAINERS = frozenset("address article aside blockquote details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
 UNWANTED_TAGS = frozenset("aside dialog fieldset footer form header menu nav".split())
 MAIN_TAGS = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Their content is no text of the page.
 SILENT_TAGS = frozenset("audio button canvas datalist head select svg template video".split())
 #: A class or id is unwanted if one of its tokens is such a name, alone or joined by hyphens only to other such names, furniture and numbers.
@@ -44,31 +47,63 @@ TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z|(?=<))", re.S | re.I)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden)(?=[\s=/]|\Z)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
-FEATURES = ("words", "link_density", "prev_words", "prev_links", "next_words", "next_links", "in_main", "unwanted")
-#: The labelled table. Each row has FEATURES and the label, 1 for main text. in_main is -1 where the page has a main part elsewhere.
-LABELLED = (
-    # in an article or main part
-    (12, 0.0, 0, 0.0, 60, 0.0, 1, 0, 1), (60, 0.0, 12, 0.0, 45, 0.0, 1, 0, 1), (1, 0.0, 60, 0.0, 33, 0.0, 1, 0, 1), (2, 0.0, 1, 0.0, 1, 0.0, 1, 0, 1),
-    (8, 0.0, 0, 0.0, 2, 0.0, 1, 0, 1), (3, 1.0, 40, 0.0, 50, 0.0, 1, 0, 1), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1), (25, 0.4, 40, 0.0, 12, 0.0, 1, 0, 1),
-    (140, 0.05, 3, 0.0, 80, 0.0, 1, 0, 1), (5, 0.0, 12, 0.9, 0, 0.0, 1, 0, 1), (17, 0.6, 0, 1.0, 9, 0.1, 1, 0, 1), (300, 0.0, 1, 1.0, 14, 0.0, 1, 0, 1),
-    # unwanted containers, within an article or not
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0), (2, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (14, 0.0, 1, 1.0, 10, 0.0, 0, 1, 0), (45, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0),
-    (9, 0.0, 50, 0.0, 0, 0.0, 0, 1, 0), (30, 0.0, 40, 0.0, 35, 0.0, 1, 1, 0), (120, 0.0, 40, 0.0, 22, 0.0, 1, 1, 0), (3, 0.3, 55, 0.0, 61, 0.0, 1, 1, 0),
-    (70, 0.1, 70, 0.0, 70, 0.0, 0, 1, 0), (6, 0.5, 0, 0.0, 120, 0.0, 0, 1, 0), (250, 0.0, 12, 0.0, 8, 1.0, 0, 1, 0), (1, 0.0, 1, 0.0, 1, 0.0, 1, 1, 0),
-    # pages without a marked main part
-    (55, 0.0, 8, 0.0, 70, 0.0, 0, 0, 1), (40, 0.05, 60, 0.0, 3, 1.0, 0, 0, 1), (22, 0.0, 35, 0.0, 41, 0.1, 0, 0, 1), (90, 0.2, 2, 1.0, 5, 0.5, 0, 0, 1),
-    (18, 0.0, 30, 0.0, 2, 1.0, 0, 0, 1), (130, 0.1, 1, 1.0, 1, 1.0, 0, 0, 1), (7, 0.0, 50, 0.0, 64, 0.0, 0, 0, 1), (4, 0.0, 28, 0.0, 31, 0.0, 0, 0, 1),
-    (6, 0.0, 2, 1.0, 58, 0.0, 0, 0, 1), (9, 0.0, 44, 0.0, 19, 0.1, 0, 0, 1), (3, 0.0, 77, 0.0, 80, 0.0, 0, 0, 1), (33, 0.15, 3, 0.0, 4, 0.0, 0, 0, 1),
-    (2, 1.0, 0, 0.0, 3, 1.0, 0, 0, 0), (4, 0.8, 2, 1.0, 2, 1.0, 0, 0, 0), (1, 1.0, 60, 0.0, 1, 1.0, 0, 0, 0), (5, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0),
-    (3, 0.0, 2, 1.0, 3, 0.9, 0, 0, 0), (24, 0.9, 3, 1.0, 4, 1.0, 0, 0, 0), (35, 0.7, 60, 0.0, 2, 1.0, 0, 0, 0), (12, 0.6, 50, 0.0, 40, 0.0, 0, 0, 0),
-    (6, 0.0, 4, 0.0, 3, 0.0, 0, 0, 0), (2, 0.0, 5, 0.0, 1, 0.5, 0, 0, 0), (8, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0), (4, 0.5, 3, 0.0, 0, 0.0, 0, 0, 0),
-    # beside the main part of a page
-    (60, 0.0, 20, 0.0, 40, 0.0, -1, 0, 0), (15, 0.0, 3, 1.0, 12, 0.0, -1, 0, 0), (2, 1.0, 1, 1.0, 1, 1.0, -1, 0, 0), (200, 0.0, 90, 0.0, 8, 0.0, -1, 0, 0),
-    (9, 0.1, 40, 0.0, 0, 0.0, -1, 0, 0), (28, 0.0, 1, 1.0, 11, 0.0, -1, 1, 0), (1, 0.0, 70, 0.0, 80, 0.0, -1, 0, 0), (34, 0.3, 6, 0.0, 6, 0.0, -1, 0, 0),
-)
-
-
-def fit_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 6, least: int = 1):
+FEATURES = ("words", "link_density", "prev_words", "prev_links", "next_words", "next_links", "in_main")
+#: The labelled table, a page a line, its blocks in order. A block is its words, /its words in links if any, and + for
+#: main text or - for other; * is before blocks in a part that is marked as the main one. What describes a block's neighbours follows.
+LABELLED = """
+1/1- 1/1- 1/1- 1/1- 7- 11+ 64+ 2+ 38+ 90+ 1+ 9-
+1/1- 2/2- 1/1- 9+ 71+ 40+ 3+ 2+ 55+ 8-
+2/2- 1/1- 1/1- 3/3- 12- 6+ 30+ 25/2+ 110+ 4+ 13-
+4- 1/1- 1/1- 8+ 45+ 1+ 1+ 2+ 60/3+ 22+ 6/4-
+1/1- 1/1- 5- 10+ 2+ 3+ 80+ 1+ 10-
+1/1- 1/1- 12+ 140+ 150/6+ 35+ 7/7- 6/6- 9/9- 4/2-
+3/3- 5+ 28+ 33/1+ 18+ 41+ 3/3- 2/2- 3/3- 11-
+1/1- 1/1- 9- 9+ 16+ 5+ 7+ 1+ 2+ 12-
+2/2- 6- 7+ 88+ 4/1+ 51+ 17+ 8-
+12/12- 10+ 66+ 75+ 70+ 20/18- 14/14- 3-
+1/1- 1/1- 10- 1+ 19+ 12+ 3+ 7-
+1/1- 1/1- 8- 12+ 130+ 9-
+1/1- 1/1- 1/1- 4+ 200+ 5-
+1/1- 6- 10+ 14+ 9+ 11+ 2+ 8-
+1/1- 1/1- 11- 3+ 3+ 6+ 50+ 42+ 10-
+45+ 60+ 38+
+30+ 1+ 44+
+7+ 52+ 2+ 61+ 3/3-
+1/1- 1/1- 2/2- 1/1- 1/1- 3-
+2/2- 3/2- 4/3- 5- 2/2- 1/1-
+6/5- 4/4- 24/22- 35/25- 12/8- 3-
+3- 2/2- 1/1- 6- 2/2-
+1/1- 1/1- 7- *10+ *60+ *1+ *40+ 9-
+1/1- 8- *12+ *2/2+ *1/1+ *30/12+ *5/3+ *300+ 60- 20- 2/2- 1/1-
+*4+ *1+ *2+ *1/1+ *1/1+
+*1+ 2/2- 45- 9-
+70- 30/3- *90+ *17/10+ *3/3+ 200- 15- 34/10-
+1/1- *55+ *8+ *25/25+ 28- 120- 6-
+*1/1+ 50- *2+ 4- *6+ *18+ 33-
+*3+
+1/1- *9+ *2+
+*40+ *2/2+ *1+
+2/2- 12- *11+ *70+ *5+
+*22+ *7/7+
+1/1- 30- *1+ *6+
+*15+ *14+ *13+ *12+ 80-
+1/1- 1/1- *33/30+ *2+ *1+ 44- 90-
+*8/8+ *8/8+ *8/8+
+60- 20- *4+ *3+ 100/2- 7/7-
+"""
+
+
+def _rows(table: str) -> tuple[list[tuple], list[int]]:
+    """FEATURES and label of each block of a labelled table."""
+    rows, labels = [], []
+    for page in filter(None, table.strip().split("\n")):
+        cut = [re.fullmatch(r"(\*?)(\d+)(?:/(\d+))?([+-])", x).groups() for x in page.split()]
+        rows += features_of([("", int(n), int(k or 0), bool(main), False) for main, n, k, _ in cut])
+        labels += [int(y == "+") for *_, y in cut]
+    return rows, labels
+
+
+def fit_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 8, least: int = 1):
     """A decision tree by Gini impurity: (feature, threshold, below, above) or a label. Ties go to the first feature and the lowest threshold."""
     if depth == 0 or labels.min() == labels.max() or len(labels) < 2 * least:
         return int(labels.mean() >= 0.5)
@@ -89,8 +124,8 @@ def fit_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 6, least: int =
 
 
 def default_tree():
-    table = np.array(LABELLED, float)
-    return fit_tree(table[:, :-1], table[:, -1])
+    rows, labels = _rows(LABELLED)
+    return fit_tree(np.array(rows, float), np.array(labels))
 
 
 def classify(tree, row) -> int:
@@ -132,16 +167,18 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
     Inline tags leave no trace, a single line break is white space, two of them end a block. Tags may be left open:
     a closing tag ends the containers that were opened within its own, and one that was never opened is ignored.
     A main element is not unwanted for what it stands in, an article only for what is firmly so, unless that is within another of them.
+    Headlines in the header of either are part of it, the rest of that header is not.
     """
     out, text, links = [], [], []
-    stack: list[tuple[str, int, int, int, int]] = []  # with main, unwanted, firm and within as they were outside
+    stack: list[tuple[str, int, int, int, int, int]] = []  # with main, unwanted, firm, within and own_header as they were outside
     in_link, silent, breaks, at = False, "", 0, 0
     main = unwanted = firm = within = 0
+    own_header, heading = 0, False
 
     def flush() -> None:
         words = "".join(text).split()
         if words:
-            out.append((" ".join(words), len(words), min(len(words), len("".join(links).split())), main > 0, unwanted > 0))
+            out.append((" ".join(words), len(words), min(len(words), len("".join(links).split())), main > 0, unwanted - own_header * heading > 0))
         text.clear()
         links.clear()
 
@@ -176,11 +213,13 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
             links.append(" ")
         elif tag in BLOCK_TAGS:
             flush()
-            breaks = 0
+            breaks, heading = 0, tag in HEADINGS and not closing
             if tag in CONTAINERS and not closing:
                 u, f, k = _marks(tag, m["attrs"])
-                stack.append((tag, main, unwanted, firm, within))
+                stack.append((tag, main, unwanted, firm, within, own_header))
+                own_header += bool(tag == "header" and within and u)
                 if tag in MAIN_TAGS:
+                    own_header = 0
                     if not within:
                         firm = firm if tag == "article" else 0
                         unwanted = firm
@@ -189,7 +228,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
             elif tag in CONTAINERS and any(x[0] == tag for x in stack):
                 in_link, x = False, ""
                 while x != tag:
-                    x, main, unwanted, firm, within = stack.pop()
+                    x, main, unwanted, firm, within, own_header = stack.pop()
     if not silent:
         add(html_entities.unescape(page[at:]))
     flush()
@@ -197,17 +236,22 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
 
 
 def features_of(blocks) -> list[tuple]:
-    """FEATURES of each block."""
+    """FEATURES of each block: in_main is 1 in a main part, -1 beside one, 0 on pages without."""
     some = any(b[3] for b in blocks)
     own = [(0, 0.0), *((b[1], b[2] / b[1]) for b in blocks), (0, 0.0)]
-    return [(*own[i + 1], *own[i], *own[i + 2], (1 if b[3] else -1) if some else 0, int(b[4])) for i, b in enumerate(blocks)]
+    return [(*own[i + 1], *own[i], *own[i + 2], (1 if b[3] else -1) if some else 0) for i, b in enumerate(blocks)]
+
 
+def main_text(page: str | None, tree=None, marks: bool = True) -> str:
+    """The main text of one page, its blocks joined by line feeds; empty for null, empty and textless pages.
 
-def main_text(page: str | None, tree=None) -> str:
-    """The main text of one page, its blocks joined by line feeds; empty for null, empty and textless pages."""
+    Without marks neither tags nor names of containers count: the tree sees words and links of blocks only.
+    """
     tree = default_tree() if tree is None else tree
     blocks = blocks_of(page or "")
-    return "\n".join(b[0] for b, f in zip(blocks, features_of(blocks), strict=True) if classify(tree, f))
+    if not marks:
+        blocks = [(*b[:3], False, False) for b in blocks]
+    return "\n".join(b[0] for b, f in zip(blocks, features_of(blocks), strict=True) if not b[4] and classify(tree, f))
 
 
 def extract_text(pages: DataFrame, html: str = "html", tree=None) -> DataFrame:

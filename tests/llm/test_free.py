@@ -3,11 +3,13 @@
 import base64
 import gzip
 import hashlib
+import html.parser
 import io
 import random
 import zipfile
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from helpers import base_quality, groups, made_texts
@@ -75,10 +77,65 @@ def test_pages_without_a_marked_part_go_by_words_and_links():
     assert htmltext.main_text(page) == " ".join(["word"] * 40) + "\n" + " ".join(["more"] * 30)
 
 
-def test_the_tree_learns_its_table():
-    rows = np.array(htmltext.LABELLED, float)
+def test_words_links_and_neighbours_decide_on_pages_without_marks():
+    r = random.Random(5)
+    text = lambda n: " ".join(f"w{r.randrange(999)}" for _ in range(n))
+    right = 0
+    for _ in range(60):
+        menu = [f"<a href=/{k}>{text(r.randint(1, 2))}</a>" for k in range(r.randint(2, 6))]
+        body = [text(r.randint(6, 12))] + [text(n) for _ in range(r.randint(2, 6)) for n in (r.randint(30, 120), r.choice([1, 2, 40, 70]))] + [text(40)]
+        blocks = [*menu, text(r.randint(5, 11)), *body, f"{text(r.randint(5, 12))}"]
+        page = "".join(f"<div class=c{r.randrange(99)}>{b}</div>" for b in blocks)
+        right += htmltext.main_text(page) == "\n".join(body)
+    assert right >= 54
+
+
+def test_the_tree_alone_gives_what_marks_give_on_most_pages(data):
+    pages = [r[0] for r in duckdb.sql(f"SELECT html FROM '{data}/pages.parquet' WHERE html IS NOT NULL").fetchall()]
+    tree = htmltext.default_tree()
+    assert sum(htmltext.main_text(p, tree, marks=False) == htmltext.main_text(p, tree) for p in pages) >= 0.95 * len(pages) > 10
+
+
+def test_extracted_pages_are_the_articles_that_a_plain_parser_cuts_out(data):
+    class Plain(html.parser.HTMLParser):
+        """Text of the article in blocks; the pages are plain enough for that."""
+
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            self.blocks += [""] * (tag in ("p", "h1", "article"))
+            self.blocks[-1] += " " * (tag == "br")
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            self.blocks += [""] * (tag in ("p", "h1", "article"))
+
+        def handle_data(self, text):
+            self.blocks[-1] += text * (self.inside > 0)
+
+    for (page,) in duckdb.sql(f"SELECT html FROM '{data}/pages.parquet'").fetchall():
+        plain = Plain()
+        plain.feed(page or "")
+        plain.close()
+        assert htmltext.main_text(page) == "\n".join(filter(None, (" ".join(b.split()) for b in plain.blocks)))
+
+
+def test_headlines_in_the_header_of_an_article_stay():
+    page = "<header><h1>Site</h1></header><article><header><p>By X</p><h1>Head</h1><p>Today</p></header><p>Text</p><section><header><h2>Part</h2>Note</header><p>More</p></section></article>"
+    assert htmltext.main_text(page) == "Head\nText\nPart\nMore"
+
+
+def test_the_tree_learns_its_table_and_goes_by_marks_where_there_are_some():
+    rows, labels = htmltext._rows(htmltext.LABELLED)
     tree = htmltext.default_tree()
-    assert all(htmltext.classify(tree, r[:-1]) == r[-1] for r in rows)
+    assert [htmltext.classify(tree, r) for r in rows] == labels
+    r = random.Random(1)
+    for _ in range(3000):
+        row = [r.choice([0, 1, 2, 9, 35, 36, 90, 400]), r.random(), r.choice([0, 1, 9, 90]), r.random(), r.choice([0, 1, 9, 90]), r.random()]
+        assert htmltext.classify(tree, (*row, 1)) == 1 and htmltext.classify(tree, (*row, -1)) == 0
 
 
 def test_unclosed_markup_is_read_in_linear_time():
