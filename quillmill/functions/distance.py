@@ -30,12 +30,6 @@ def folded(word: Column) -> Column:
     return F.translate(word, "".join(p[1] for p in SIMILAR), "".join(p[0] for p in SIMILAR))
 
 
-def letter_bits(word: Column) -> Column:
-    """A 64-bit set of the letters of a word. One edit changes two bits at most, one that adds or drops a letter only one."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ascii(x) % 64)
-    return F.aggregate(F.filter(F.split(word, "", -1), lambda x: x != ""), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(bit(x)))
-
-
 def weighted_distance(a: Column, b: Column) -> Column:
     """Edit distance of lower-cased words in which exchanging similar letters costs half: one row of the table at a time."""
     def table(x: Column, y: Column) -> Column:

@@ -1,16 +1,21 @@
 """Spelling correction against a vocabulary, in tiers: exact, look-alike letters, edit distance.
 
-Each tier sees only the words that the tiers before it left. Distances are searched by joins on the length of words, never by a cross join.
+Each tier sees only the words that the tiers before it left. Distances are searched by pieces of words: of two words
+within k edits one has, cut to k + 1 pieces, a piece that stands unchanged in the other, near its own place.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quillmill.functions.distance import folded, letter_bits, variants, weighted_distance
+from quillmill.functions.distance import folded, variants, weighted_distance
 from quillmill.functions.text import az_lower, normalised_tokens, preserve_case, strip
 
 
+#: Edits within which a word is sought first.
+NEAR = 2
+
+
 def exact(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """queries (word, low) that the vocabulary has: (word, low, correction, distance, freq)."""
     return queries.join(vocabulary.select(F.col("word").alias("low"), "freq"), "low").select("word", "low", F.col("low").alias("correction"), F.lit(0.0).alias("distance"), "freq")
@@ -28,23 +33,57 @@ def _parts(df: DataFrame) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def candidates(queries: DataFrame, vocabulary: DataFrame, radius: float, measure=None, fold=None) -> DataFrame:
-    """(word, low, candidate, freq, distance) of all vocabulary words within radius, found by their length.
+def _piece(length: Column, i: int, k: int) -> tuple[Column, Column]:
+    """Place, from 0, and length of the i-th of the k + 1 pieces of a word; the later ones are the longer ones where they differ."""
+    size = F.floor(length / (k + 1)).cast("int")
+    shorter = k + 1 - length % (k + 1)
+    return size * i + F.greatest(F.lit(0), i - shorter), size + F.when(F.lit(i) >= shorter, 1).otherwise(0)
+
+
+def _letters(word: Column) -> Column:
+    return F.transform(F.array_distinct(F.filter(F.split(word, "", -1), lambda x: x != "")), lambda x: F.struct(F.lit(-1).alias("i"), x.alias("piece")))
+
+
+def _listed(word: Column, k: int) -> Column:
+    """(i, piece) under which a word is found: its k + 1 pieces; of a word too short for them its letters, and one for any."""
+    pieces = [F.struct(F.lit(i).alias("i"), F.substring(word, at + 1, n).alias("piece")) for i in range(k + 1) for at, n in [_piece(F.length(word), i, k)]]
+    return F.when(F.length(word) > k, F.array(*pieces)).otherwise(F.concat(_letters(word), F.array(F.struct(F.lit(-1).alias("i"), F.lit("").alias("piece")))))
+
+
+def _probes(word: Column, length: Column, k: int) -> Column:
+    """(i, piece) by which all words of a length within k edits are found.
+
+    If the i-th piece is the first that stands unchanged, i edits at most are before it and k - i after: that bounds how far
+    it may have moved. A word too short for pieces shares a letter with any that is longer than k; with others it may share nothing.
+    """
+    own, some = F.length(word), []
+    for i in range(k + 1):
+        at, n = _piece(length, i, k)
+        for d in range(-i, i + 1):
+            fits = (F.abs(own - length - d) <= k - i) & (at + d >= 0) & (at + d + n <= own)
+            some.append(F.when(fits, F.struct(F.lit(i).alias("i"), F.substring(word, at + d + 1, n).alias("piece"))))
+    short = F.when(own > k, _letters(word)).otherwise(F.array(F.struct(F.lit(-1).alias("i"), F.lit("").alias("piece"))))
+    return F.when(length > k, F.array_distinct(F.array_compact(F.array(*some)))).otherwise(short)
+
+
+def candidates(queries: DataFrame, vocabulary: DataFrame, radius: float, measure=None, fold=None, once: bool = True) -> DataFrame:
+    """(word, low, candidate, freq, distance) of all vocabulary words within radius, found by their pieces; once unless told otherwise.
 
     measure gives the distance of low and candidate, Levenshtein's by default. Levenshtein's distance of folded words must
-    bound it from below. The letters of both are compared first: words whose letters differ by too many bits are too far.
+    bound it from below.
     """
     k, fold = int(radius), fold or (lambda c: c)
-    lengths = F.sequence(F.greatest(F.lit(1), F.length("low") - k), F.length("low") + k)
-    wanted = queries.withColumn("a", fold(F.col("low"))).select("word", "low", "a", letter_bits(F.col("a")).alias("a_bits"), F.explode(F.when(F.length("low") + k >= 1, lengths)).alias("len")).repartition(_parts(queries), "word", "len")
-    # Each word is held against many: both sides are dealt out evenly first, as their bytes would not make Spark do so.
-    dealt = vocabulary.select(F.col("word").alias("candidate"), "freq", F.length("word").alias("len"), fold(F.col("word")).alias("b")).repartition(_parts(vocabulary), "candidate")
-    pairs = wanted.join(dealt.withColumn("b_bits", letter_bits(F.col("b"))), "len")
-    apart = F.abs(F.length("a") - F.length("b"))
-    alike = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= 2 * k - apart
-    pairs = pairs.where(F.when(alike, F.levenshtein("a", "b", k)).otherwise(-1) >= 0)  # one expression, so that the cheap test comes first
+    lengths = F.sequence(F.greatest(F.lit(1), F.length("a") - k), F.length("a") + k)
+    asked = queries.select("word", "low", fold(F.col("low")).alias("a")).withColumn("len", F.explode(F.when(F.length("a") + k >= 1, lengths)))
+    wanted = asked.select("word", "low", "a", "len", F.explode(_probes(F.col("a"), F.col("len"), k)).alias("p")).select("word", "low", "a", "len", "p.*")
+    # Each word may be held against many: the vocabulary is dealt out evenly first, as its bytes would not make Spark do so.
+    dealt = vocabulary.select(F.col("word").alias("candidate"), "freq", fold(F.col("word")).alias("b")).repartition(_parts(vocabulary), "candidate")
+    listed = dealt.select("candidate", "freq", "b", F.length("b").alias("len"), F.explode(_listed(F.col("b"), k)).alias("p")).select("candidate", "freq", "b", "len", "p.*")
+    pairs = wanted.join(listed, ["len", "i", "piece"]).withColumn("distance", F.levenshtein("a", "b", k)).where("distance >= 0")
+    pairs = pairs.select("word", "low", "candidate", "freq", F.col("distance").cast("double").alias("distance"))
+    pairs = pairs.distinct() if once or measure else pairs
     if measure is None:
-        return pairs.select("word", "low", "candidate", "freq", F.levenshtein("a", "b").cast("double").alias("distance"))
+        return pairs
     # Behind a generator the measure stays out of the join's condition, which then keeps its generated code.
     found = pairs.select("word", "low", "candidate", "freq", F.explode(F.array(measure(F.col("low"), F.col("candidate")))).alias("distance"))
     return found.where(F.col("distance") <= radius)
@@ -76,12 +115,15 @@ def _untold(asked: DataFrame, name: str) -> DataFrame:
 def correct(words: DataFrame, vocabulary: DataFrame, radius: int = 4) -> DataFrame:
     """(word, correction, distance, freq, tier) of each distinct word; correction and distance are null where nothing is near.
 
+    Most words have a near one: those within NEAR are sought first, by long pieces, and only for the rest the whole radius.
     The case of the first letter is restored in all tiers.
     """
     asked = _untold(_asked(words), "tier")
-    asked = _then(asked, exact(asked.select("word", "low"), vocabulary), "exact", "tier")
-    asked = _then(asked, by_variant(asked.where("tier IS NULL").select("word", "low"), vocabulary), "variant", "tier")
-    asked = _then(asked, nearest(candidates(asked.where("tier IS NULL").select("word", "low"), vocabulary, radius)), "distance", "tier")
+    rest = lambda: asked.where("tier IS NULL").select("word", "low")
+    asked = _then(asked, exact(rest(), vocabulary), "exact", "tier")
+    asked = _then(asked, by_variant(rest(), vocabulary), "variant", "tier")
+    for k in [NEAR, radius] if radius > NEAR else [radius]:
+        asked = _then(asked, nearest(candidates(rest(), vocabulary, k, once=False)), "distance", "tier")
     return asked.select("word", preserve_case(F.col("correction"), F.col("word")).alias("correction"), "distance", "freq", F.coalesce("tier", F.lit("none")).alias("tier"))
 
 

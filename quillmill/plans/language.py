@@ -19,7 +19,7 @@ RESULTS = [
 ]
 TYPOS = [("gül", "gul", "substitution"), ("kitab", "kitob", "substitution"), ("dəniz", "deniz", "substitution"), ("su", "suu", "insertion"), ("bağ", "bag", "substitution"), ("daş", "daş", "substitution"), ("ǝl", "xl", "substitution"), ("yol", "ylo", "transposition"), ("gözəl", "gozal", "substitution")]
 PROMPT = "Write the poem in modern words.\n\n{text}\n"
-SEED, N_WORDS, N_MERGES = 7, 500, 12
+SEED, N_WORDS, N_MERGES, VOCABULARY = 7, 500, 12, 10_000
 
 
 def _docs(spark, sf_dir, *columns):
@@ -72,10 +72,15 @@ def _merges(spark, sf_dir):
     return bpe.merge_table(spark, merges)
 
 
-def _encoded(spark, sf_dir):
+def _encoded(spark, sf_dir, full=False):
+    """The texts in pieces: by N_MERGES merges, or by as many as make VOCABULARY symbols."""
     docs = _docs(spark, sf_dir, "doc_id", "text")
-    merges = bpe.train(bpe.word_vocabulary(docs), N_MERGES)
-    return bpe.apply_merges(docs, merges)
+    words = bpe.word_vocabulary(docs)
+    return bpe.apply_merges(docs, bpe.learn(words, VOCABULARY) if full else bpe.train(words, N_MERGES))
+
+
+def _encoded_stats(encoded):
+    return corpus.token_stats(encoded.select("bpe_text"), text="bpe_text").select("n_rows", F.col("total_tokens").alias("total_bpe_tokens"), F.col("unique_types").alias("unique_bpe_types"))
 
 
 def _done(spark, sf_dir):
@@ -115,8 +120,11 @@ QUERIES = {
     "bpe_pair_counts": lambda s, d: bpe.pair_counts(bpe.word_vocabulary(_docs(s, d, "doc_id", "text"))).select("left", "right", "freq"),
     "bpe_merges_small": _merges,
     "bpe_merge_lines": lambda s, d: bpe.merge_lines(_merges(s, d)),
-    "bpe_stats": lambda s, d: corpus.token_stats(_encoded(s, d).select("bpe_text"), text="bpe_text").select("n_rows", F.col("total_tokens").alias("total_bpe_tokens"), F.col("unique_types").alias("unique_bpe_types")),
+    "bpe_stats": lambda s, d: _encoded_stats(_encoded(s, d)),
     "bpe_apply": lambda s, d: _encoded(s, d).select("doc_id", "bpe_text"),
+    # The same at full size, thousands of merges: without SQL.
+    "bpe_stats_full": lambda s, d: _encoded_stats(_encoded(s, d, True)),
+    "bpe_apply_full": lambda s, d: _encoded(s, d, True).select("doc_id", "bpe_text"),
     "bpe_vocab_ids": lambda s, d: bpe.vocabulary_ids(_docs(s, d, "text"), "text"),
     "enrich_alignment": lambda s, d: _docs(s, d, "doc_id").join(_done(s, d).where("value = 'done'"), "doc_id", "full").agg(F.count("*").alias("keys"), F.count("value").alias("done")),
     "enrich_pending": lambda s, d: enrich.pending(_docs(s, d, "doc_id"), _done(s, d), "doc_id"),
@@ -243,16 +251,22 @@ i{k} AS (SELECT freq, first, s, unnest(range(1, len(s))) AS i FROM s{k}),
 p{k} AS (SELECT s[i] AS l, s[i + 1] AS r, sum(freq)::BIGINT AS freq, min((first, i)) AS first FROM i{k} GROUP BY 1, 2)"""
 
 
-def _merges_sql() -> str:
+def _merges_sql(last: bool = False) -> str:
+    """v0, b0 ...: the words after each merge, and each merge; with last also the words after the last one."""
     parts = [BPE_WORDS]
     for k in range(N_MERGES):
         parts.append(_pairs_sql(k) + f",\nb{k} AS MATERIALIZED (SELECT l, r FROM p{k} WHERE freq >= 2 ORDER BY freq DESC, first LIMIT 1)")
-        if k + 1 < N_MERGES:
+        if last or k + 1 < N_MERGES:
             parts.append(f"v{k + 1} AS MATERIALIZED (SELECT word, freq, first, replace(marked, '{OPEN}' || l || '{CLOSE}{OPEN}' || r || '{CLOSE}', '{OPEN}' || l || r || '{CLOSE}') AS marked FROM v{k}, b{k})")
     parts.append("merges AS (" + " UNION ALL ".join(f'SELECT {k} AS rank, l AS "left", r AS "right" FROM b{k}' for k in range(N_MERGES)) + ")")
     return ",\n".join(parts)
 
 
+CODED = f"""
+coded AS (SELECT word, array_to_string(list_filter(list_transform(string_split(substr(marked, 2, length(marked) - 2), '{CLOSE}{OPEN}'), lambda x: regexp_replace(x, '</w>$', '')), lambda x: x <> ''), ' ') AS pieces FROM v{N_MERGES}),
+encoded AS (SELECT d.doc_id, coalesce(t.bpe_text, '') AS bpe_text FROM documents d LEFT JOIN (SELECT doc_id, string_agg(pieces, ' ' ORDER BY pos) AS bpe_text FROM occ JOIN coded USING (word) GROUP BY doc_id) t USING (doc_id))
+"""
+
 ORACLE_SQL = {
     "quick_variants": f"SELECT word, unnest({_variants_sql('word')}) AS variant FROM {values_sql(WORDS, 'word')}",
     "exact_lookup": f"WITH {VOCAB}, {FREQUENT}, {CASES}, {ASKED} {EXACT.format(vocab='vocab')}",
@@ -300,6 +314,8 @@ ORACLE_SQL = {
     "bpe_pair_counts": f'WITH {BPE_WORDS}, {_pairs_sql(0)} SELECT l AS "left", r AS "right", freq FROM p0',
     "bpe_merges_small": f"WITH {_merges_sql()} SELECT * FROM merges",
     "bpe_merge_lines": f"""WITH {_merges_sql()} SELECT 0 AS line, '#version: 0.2' AS value UNION ALL SELECT rank + 1, "left" || ' ' || "right" FROM merges""",
+    "bpe_apply": f"WITH {_merges_sql(True)}, {CODED} SELECT * FROM encoded",
+    "bpe_stats": f"WITH {_merges_sql(True)}, {CODED}, tokens AS (SELECT unnest({tokens_sql('bpe_text')}) AS token FROM encoded) SELECT (SELECT count(*) FROM documents) AS n_rows, count(*) AS total_bpe_tokens, count(DISTINCT token) AS unique_bpe_types FROM tokens",
     "bpe_vocab_ids": f"SELECT token, count(*) AS frequency, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS id FROM (SELECT unnest({tokens_sql('text')}) AS token FROM documents) GROUP BY token",
     "enrich_alignment": "SELECT count(*) AS keys, count(l.doc_id) AS done FROM documents d FULL JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON l.doc_id = d.doc_id",
     "enrich_pending": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",

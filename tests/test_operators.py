@@ -1,5 +1,6 @@
-from collections import Counter, defaultdict
 import math
+import random
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,7 +88,18 @@ def test_tally_counts_every_occurrence(spark):
     assert tuple(spell.tally(spell.check_texts(texts, vocab, 1)).first()) == (4, 2, 1, 1)
 
 
-def test_search_by_length_is_a_search_of_all(spark, docs):
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 4, 5])
+def test_search_by_pieces_finds_words_of_all_lengths(spark, radius):
+    r = random.Random(radius)
+    word = lambda: "".join(r.choice("abə") for _ in range(r.randint(1, 13)))
+    vocab = spark.createDataFrame([(w, 1) for w in sorted({word() for _ in range(150)} | {"x", "yz", "xyz"})], "word string, freq long")
+    asked = spark.createDataFrame([(w,) for w in {word() for _ in range(60)} | {"", "q", "qqqq", "qqqqqq", "zyx"}], "word string").select("word", F.col("word").alias("low"))
+    got = [(x.low, x.candidate, x.distance) for x in spell.candidates(asked, vocab, radius).collect()]
+    pairs = asked.crossJoin(vocab.select(F.col("word").alias("candidate"))).withColumn("d", F.levenshtein("low", "candidate").cast("double")).where(F.col("d") <= radius)
+    assert sorted(got) == sorted((x.low, x.candidate, x.d) for x in pairs.collect()) and (got or not radius)
+
+
+def test_search_by_pieces_is_a_search_of_all(spark, docs):
     vocab = corpus.vocabulary(docs, normalised_tokens, least_count=2).orderBy("word").limit(400).cache()
     cases = evaluate.with_typos(evaluate.sample_words(vocab, 40), 1.0).select(F.col("error_word").alias("word"))
     got = {(r.low, r.candidate): r.distance for r in spell.candidates(spell._asked(cases), vocab, 2).collect()}
@@ -116,6 +128,27 @@ def test_letters_by_alphabet_then_code_point(spark):
     assert d.count() == 64 and d.agg(F.sum("count")).first()[0] == 4
 
 
+def plain_merges(vocabulary, n, least=2):
+    """Merges found one by one, all pairs counted anew each time."""
+    rows = sorted(vocabulary.select("word", "freq", "first").collect(), key=lambda r: r["first"])
+    words, out = [([*r.word, bpe.END], r.freq) for r in rows], []
+    while len(out) < n:
+        counts = {}
+        for w, freq in words:
+            for p in zip(w, w[1:]):
+                counts[p] = counts.get(p, 0) + freq
+        if not counts or max(counts.values()) < least:
+            break
+        out.append(max(counts, key=counts.get))  # the first of equals
+        for w, _ in words:
+            j = 0
+            while j + 1 < len(w):
+                if (w[j], w[j + 1]) == out[-1]:
+                    w[j : j + 2] = [w[j] + w[j + 1]]
+                j += 1
+    return out
+
+
 def test_overlapping_pairs_count_and_merge_from_the_left(spark):
     docs = spark.createDataFrame([(1, "aaa")], "doc_id int, text string")
     words = bpe.word_vocabulary(docs)
@@ -126,8 +159,11 @@ def test_overlapping_pairs_count_and_merge_from_the_left(spark):
 
 def test_both_trainers_agree_and_pieces_make_the_word(spark, docs):
     words = bpe.word_vocabulary(docs.orderBy("doc_id").limit(30)).cache()
-    merges = bpe.train(words, 6)
-    assert merges == bpe.train_local(words, 6)
+    merges = bpe.train(words, 80)
+    assert merges == bpe.train_local(words, 80) == plain_merges(words, 80) and len(merges) == 80
+    assert bpe.train(words, 30, most=1) == merges[:30]
+    size = bpe.base_symbols(words) + 25
+    assert bpe.learn(words, size) == merges[:25] == bpe.learn(words, size, most_words=3)
     ranks = {p: i for i, p in enumerate(bpe.train_local(words, 200))}
     for r in words.limit(300).collect():
         assert "".join(bpe.pieces(r.word, ranks)) == r.word
