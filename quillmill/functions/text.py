@@ -86,6 +86,12 @@ def pair_key(a: Column, b: Column) -> Column:
     return F.concat_ws("->", a, b)
 
 
+def unpaired(key: Column) -> Column:
+    """Of a pair key: struct(actual, predicted), cut at its first arrow; null without one."""
+    at = F.instr(key, "->")
+    return F.when(at > 0, F.struct(F.substring(key, F.lit(1), at - 1).alias("actual"), F.substr(key, at + 2).alias("predicted")))
+
+
 def titled(c: Column) -> Column:
     """For display: underscores to spaces, words capitalised."""
     return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from quillmill.functions.text import filled, strip, tokenize
 
 
-#: Steps of the growth curve that are summed at once.
-BLOCK = 4096
+#: Steps of the growth curve that are summed at once, and ranges of documents, a power of two.
+BLOCK, RANGES = 4096, 1024
 
 
 def occurrences(docs: DataFrame, text: str, order: str, tokens: Callable[[str], Column] = tokenize) -> DataFrame:
@@ -57,14 +58,17 @@ def vocabulary_growth(docs: DataFrame, step: int = 1000, text: str = "text", ord
     """(tokens, types, log_tokens, log_types) after each step tokens of the corpus in order, and at its end.
 
     A token's place is its place in the document plus the tokens before that. Those are summed in two turns, within and
-    over ranges of documents, so that no window holds the corpus; of each token only the first place matters, counted by
+    over ranges of about as many documents each, so that no window holds the corpus, however ids are spread; of each token only the first place matters, counted by
     steps, and steps are summed in two turns again. What meets in one window in the end is a row for each BLOCK of steps.
     """
     counted = docs.select(F.col(order).alias("doc"), tokenize(text).alias("tokens"))
     per_doc = counted.groupBy("doc").agg(F.sum(F.size("tokens")).alias("n"))
-    spread = per_doc.agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.ceil(F.sqrt(F.count("*"))).alias("parts"))
-    part = F.floor((F.col("doc") - F.col("lo")) * F.col("parts") / (F.col("hi") - F.col("lo") + 1))
-    placed = per_doc.crossJoin(F.broadcast(spread)).withColumn("part", part)  # spread is one row
+    if not isinstance(docs.schema[order].dataType, NumericType | DateType | TimestampType | TimestampNTZType):
+        raise TypeError(f"{order} must be a number, a date or a time")
+    bounds = per_doc.agg(F.percentile_approx("doc", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("bounds"))
+    step_of = lambda at, s: F.when(F.get("bounds", at + s - 1) < F.col("doc"), at + s).otherwise(at)
+    part = F.aggregate(F.array(*(F.lit(1 << i) for i in reversed(range(RANGES.bit_length() - 1)))), F.lit(0), step_of)
+    placed = per_doc.crossJoin(F.broadcast(bounds)).withColumn("part", part).drop("bounds")  # bounds is one row
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = placed.groupBy("part").agg(F.sum("n").alias("m")).select("part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"), F.sum("m").over(Window.partitionBy()).alias("total"))
     within = Window.partitionBy("part").orderBy("doc").rowsBetween(Window.unboundedPreceding, -1)

@@ -28,6 +28,14 @@ def accuracy(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     return results.groupBy(*(by or [])).agg(F.count("*").alias("total"), passed.alias("passed"), (100.0 * passed / F.nullif(F.count("*"), F.lit(0))).alias("accuracy"))
 
 
+def error_accuracy(results: DataFrame) -> DataFrame:
+    """total cases, errors among them, how many of these were corrected, and accuracy over errors in percent: 0 without errors. Correct words count for nothing."""
+    wrong = F.coalesce(F.col("error_type") != "correct", F.lit(True))
+    fixed = F.count_if(wrong & (F.col("status") == "PASS"))
+    share = F.when(F.count_if(wrong) > 0, 100.0 * fixed / F.count_if(wrong)).otherwise(F.lit(0.0))
+    return results.agg(F.count("*").alias("total"), F.count_if(wrong).alias("errors"), fixed.alias("corrected"), share.alias("accuracy"))
+
+
 def distribution(cases: DataFrame, by: str) -> DataFrame:
     """(by, count, percent of all)."""
     return cases.groupBy(by).agg(F.count("*").alias("count")).withColumn("percent", 100.0 * F.col("count") / F.sum("count").over(Window.partitionBy()))
@@ -52,6 +60,11 @@ def top_confusions(confusion: DataFrame, k: int) -> DataFrame:
     return top.select(rank.alias("rank"), "error_char", "correct_char", "count", (100.0 * F.col("count") / F.col("total")).alias("percent"))
 
 
+def confusion_totals(confusion: DataFrame) -> DataFrame:
+    """total_substitutions and unique_character_pairs, one row."""
+    return confusion.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("total_substitutions"), F.count("*").alias("unique_character_pairs"))
+
+
 def vowel_consonant(confusion: DataFrame) -> DataFrame:
     """Substitutions by kind of letter, and shares of errors in vowels and consonants."""
     kind = lambda c: F.when(F.contains(F.lit(VOWELS), F.col(c)), "vowel").otherwise("consonant")
@@ -78,10 +91,10 @@ def ordered_letters(confusion: DataFrame) -> DataFrame:
 
 
 def dense(confusion: DataFrame, row: str, column: str) -> DataFrame:
-    """A count for every pair of labels that occur as either, 0 where there is none: labels are letters or error types, few for any input."""
+    """A count for every pair of labels that occur as either, 0 where there is none: labels are letters or error types, few for any input. Rows come by row and column label."""
     labels = confusion.select(F.col(row).alias("label")).union(confusion.select(column)).distinct()
     every = labels.select(F.col("label").alias(row)).crossJoin(labels.select(F.col("label").alias(column)))
-    return every.join(confusion, [row, column], "left").select(row, column, F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
+    return every.join(confusion, [row, column], "left").select(row, column, F.coalesce("count", F.lit(0)).cast("bigint").alias("count")).orderBy(row, column)
 
 
 def precision(confusion: DataFrame) -> DataFrame:

@@ -12,8 +12,10 @@ from quillmill.functions.distance import folded, variants, weighted_distance
 from quillmill.functions.text import az_lower, normalised_tokens, preserve_case, strip
 
 
-#: Edits within which a word is sought first.
-NEAR = 2
+#: The type of the alternatives in an answer.
+ANSWERS = "array<struct<word:string,distance:double,frequency:bigint>>"
+#: Edits within which a word is sought first, and how many alternatives are listed.
+NEAR, LISTED = 2, 5
 
 
 def exact(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -144,6 +146,43 @@ def check(words: DataFrame, vocabulary: DataFrame, radius: int = 3) -> DataFrame
     return own.join(others, "word", "left").select("word", "exists_in_vocab", "word_frequency", "correction", "distance", "alternatives")
 
 
+def answer(requests: DataFrame, vocabulary: DataFrame, default: int = 3, key: str = "id", body: str = "body") -> DataFrame:
+    """(key, code, answer) of each request, a JSON body {word, max_distance}: what check() says, as JSON, or an error.
+
+    Code 400 and No word provided where there is no word, 400 and Invalid request for bodies that are no JSON object or ask
+    for a negative distance. Without max_distance the default holds. The largest distance asked for bounds the search;
+    each answer keeps to its own.
+    """
+    parsed = F.from_json(F.col(body), "word string, max_distance int, bad string", {"columnNameOfCorruptRecord": "bad"})
+    asked = requests.select(key, parsed.alias("r")).select(key, strip(F.coalesce("r.word", F.lit(""))).alias("word"), F.coalesce("r.max_distance", F.lit(default)).alias("most"), (F.col("r").isNull() | F.col("r.bad").isNotNull() | (F.coalesce("r.max_distance", F.lit(0)) < 0)).alias("invalid"))
+    good = asked.where("NOT invalid AND word <> ''")
+    radius = good.agg(F.max("most")).first()[0] or 0
+    words = good.select("word").distinct()
+    found = correct(words, vocabulary, radius)
+    # Only words that some request leaves without a correction have alternatives.
+    failed = good.join(found, "word").where("correction IS NULL OR tier = 'distance' AND distance > most").select("word").distinct()
+    near = nearest_words(failed, vocabulary, radius + 1)
+    both = good.join(found, "word").join(near, "word", "left")
+    held = F.col("tier").isin("exact", "variant") | (F.col("distance") <= F.col("most"))
+    own = lambda c: F.when(held, F.col(c))
+    others = F.slice(F.filter("near", lambda n: n["distance"] <= F.col("most") + 1), 1, LISTED)
+    exists = F.col("tier") == "exact"
+    said = F.struct(
+        F.col("word").alias("input_word"), exists.alias("exists_in_vocab"), F.when(exists, F.col("freq")).otherwise(F.lit(0)).alias("word_frequency"), own("correction").alias("correction"),
+        F.when(F.col("correction").isNotNull(), own("distance")).alias("distance"), F.when(F.coalesce(held & F.col("correction").isNotNull(), F.lit(False)), F.array().cast(ANSWERS)).otherwise(F.coalesce(others, F.array().cast(ANSWERS))).alias("alternatives"), F.col("most").alias("max_distance_used"))
+    fine = both.select(key, F.lit(200).alias("code"), F.to_json(said, {"ignoreNullFields": "false"}).alias("answer"))
+    wrong = asked.where("invalid OR word = ''").select(key, F.lit(400).alias("code"), F.to_json(F.struct(F.when(F.col("invalid"), "Invalid request").otherwise("No word provided").alias("error"))).alias("answer"))
+    return fine.unionByName(wrong)
+
+
+def nearest_words(words: DataFrame, vocabulary: DataFrame, radius: int) -> DataFrame:
+    """(word, near): the LISTED nearest words of the vocabulary within radius, by distance, count, word."""
+    order = Window.partitionBy("word").orderBy("distance", F.desc("freq"), "candidate")
+    found = candidates(_asked(words), vocabulary, radius).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LISTED)
+    sorted_near = F.array_sort(F.collect_list(F.struct("distance", (-F.col("freq")).alias("less"), "candidate")))
+    return found.groupBy("word").agg(sorted_near.alias("n")).select("word", F.transform("n", lambda x: F.struct(x["candidate"].alias("word"), x["distance"].alias("distance"), (-x["less"]).alias("frequency"))).alias("near"))
+
+
 def status(exists: Column, correction: Column) -> Column:
     return F.when(exists, "Correct").when(correction.isNotNull(), "Corrected").otherwise("Not Found")
 

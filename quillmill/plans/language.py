@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmill.functions.distance import ALPHABET, SIMILAR, TYPO_ALPHABET, VARIANT_FROM, VARIANT_TO, variants, weighted_distance
-from quillmill.functions.text import normalised_tokens, prompt
+from quillmill.functions.text import normalised_tokens, prompt, unpaired
 from quillmill.operators import bpe, corpus, evaluate, spell
 from quillmill.plans.common import ascii_sql, inline, lower_sql, normal_sql, read, strip_sql, tokens_sql, values_sql
+from quillmill.sources.files import missing_columns
 from quillmill.streaming import enrich
 
 #: Small inputs.
@@ -18,6 +19,9 @@ RESULTS = [
     ("suu", "su", "su", "insertion"), ("evv", "ev", "av", "insertion"), ("yol", "yol", "yol", "correct"), ("xx", None, None, "phonetic"), ("daş", "daş", "dağ", "correct"), ("gul", "gül", "gül", "substitution"),
 ]
 TYPOS = [("gül", "gul", "substitution"), ("kitab", "kitob", "substitution"), ("dəniz", "deniz", "substitution"), ("su", "suu", "insertion"), ("bağ", "bag", "substitution"), ("daş", "daş", "substitution"), ("ǝl", "xl", "substitution"), ("yol", "ylo", "transposition"), ("gözəl", "gozal", "substitution")]
+KEYS = [("insertion->correct",), ("a->b->c",), ("->x",), ("ə->e",), ("no arrow",), ("",), (None,)]
+NEEDED = [("doc_id",), ("text",), ("modern_text",), ("TEXT",)]
+REQUESTS = [(1, '{"word": " kitab "}'), (2, '{"word": ""}'), (3, "{}"), (4, "no json"), (5, None), (6, '{"word": "the", "max_distance": 1}'), (7, '{"word": "thee", "max_distance": -1}'), (8, '{"word": "qqqqqqqqqqqq", "max_distance": 1}')]
 PROMPT = "Write the poem in modern words.\n\n{text}\n"
 SEED, N_WORDS, N_MERGES, VOCABULARY = 7, 500, 12, 10_000
 
@@ -103,6 +107,14 @@ QUERIES = {
     "batch_check": lambda s, d: spell.check_texts(read(s, d, "benchmark", "text"), _vocab(s, d), 3),
     "batch_check_tally": lambda s, d: spell.tally(spell.check_texts(read(s, d, "benchmark", "text"), _vocab(s, d), 3)),
     "spell_accuracy": lambda s, d: evaluate.accuracy(_results(s)),
+    "error_accuracy": lambda s, d: evaluate.error_accuracy(_results(s)).withColumn("accuracy", F.round("accuracy", 6)),
+    "weighted_error_accuracy": lambda s, d: evaluate.error_accuracy(_weighted(s, d)).withColumn("accuracy", F.round("accuracy", 6)),
+    "confusion_totals": lambda s, d: evaluate.confusion_totals(evaluate.char_confusion(_cases(s, d))),
+    "decoded_labels": lambda s, d: inline(s, KEYS, "key string").select("key", unpaired(F.col("key")).alias("p")).select("key", "p.actual", "p.predicted"),
+    "required_columns": lambda s, d: inline(s, NEEDED, "name string").select("name", (~F.col("name").isin(missing_columns(read(s, d, "documents"), [n for (n,) in NEEDED]))).alias("present")),
+    "check_requests": lambda s, d: spell.answer(inline(s, REQUESTS, "id int, body string"), _frequent(s, d)).select("id", "code", F.get_json_object("answer", "$.error").alias("error"), F.get_json_object("answer", "$.exists_in_vocab").alias("exists_in_vocab")),
+    "enrich_aligned": lambda s, d: enrich.align(_docs(s, d, "doc_id", "text"), enrich.enrich(_docs(s, d, "doc_id", "text"), lambda t: t[::-1], "doc_id", "text"), "doc_id").select("doc_id", F.length("text").alias("n_text"), F.length("value").alias("n_value")),
+    "row_at": lambda s, d: enrich.row_at(_docs(s, d, "doc_id", "source"), "doc_id", 42),
     "accuracy_by_type": lambda s, d: evaluate.accuracy(_results(s), ["error_type"]).withColumn("accuracy", F.round("accuracy", 6)),
     "weighted_distance": lambda s, d: inline(s, PAIRS, "a string, b string").select("a", "b", weighted_distance(F.col("a"), F.col("b")).alias("distance")),
     "weighted_cascade": lambda s, d: _weighted(s, d).select("original", "error_word", "error_type", "correction", "distance", "prediction_type", "status"),
@@ -204,6 +216,7 @@ places AS (SELECT error_word, original, unnest(range(1, least(length(error_word)
 confusion AS (SELECT substr(error_word, i, 1) AS error_char, substr(original, i, 1) AS correct_char, count(*) AS count FROM places WHERE substr(error_word, i, 1) <> substr(original, i, 1) GROUP BY 1, 2)
 """
 JUDGED = f"results AS (SELECT *, CASE WHEN predicted IS NOT DISTINCT FROM expected THEN 'PASS' ELSE 'FAIL' END AS status FROM {values_sql(RESULTS, 'input', 'expected', 'predicted', 'error_type')})"
+ERROR_ACCURACY = "count(*) AS total, count_if(error_type <> 'correct') AS errors, count_if(error_type <> 'correct' AND status = 'PASS') AS corrected, round(coalesce(100.0 * count_if(error_type <> 'correct' AND status = 'PASS') / nullif(count_if(error_type <> 'correct'), 0), 0), 6)::DOUBLE AS accuracy"
 ACCURACY = "count(*) AS total, count_if(status = 'PASS') AS passed, round(100.0 * count_if(status = 'PASS') / count(*), 6) AS accuracy"
 
 #: A distance table in SQL, row by row by recursion: for a set of pairs (a, b).
@@ -288,6 +301,18 @@ ORACLE_SQL = {
         SELECT coalesce(sum(n), 0)::BIGINT AS total_words, coalesce(sum(n) FILTER (tier = 'exact'), 0)::BIGINT AS correct, coalesce(sum(n) FILTER (tier IN ('variant', 'distance')), 0)::BIGINT AS corrected, coalesce(sum(n) FILTER (tier = 'none'), 0)::BIGINT AS not_found
         FROM corrected JOIN words USING (word)""",
     "spell_accuracy": f"WITH {JUDGED} SELECT {ACCURACY} FROM results",
+    "error_accuracy": f"WITH {JUDGED} SELECT {ERROR_ACCURACY} FROM results",
+    "weighted_error_accuracy": f"{WEIGHTED} SELECT {ERROR_ACCURACY} FROM judged",
+    "confusion_totals": f"WITH {FREQUENT}, {CASES}, typos AS (SELECT * FROM cases WHERE error_type = 'substitution'), {PAIRED} SELECT coalesce(sum(count), 0)::BIGINT AS total_substitutions, count(*) AS unique_character_pairs FROM confusion",
+    "decoded_labels": f"SELECT key, CASE WHEN contains(key, '->') THEN split_part(key, '->', 1) END AS actual, CASE WHEN contains(key, '->') THEN substr(key, position('->' IN key) + 2) END AS predicted FROM {values_sql(KEYS, 'key')}",
+    "required_columns": f"SELECT name, lower(name) IN (SELECT lower(column_name) FROM (DESCRIBE documents)) AS present FROM {values_sql(NEEDED, 'name')}",
+    "check_requests": f"""
+        WITH {FREQUENT}, asked AS (SELECT *, body IS NULL OR NOT json_valid(body) AS odd FROM {values_sql(REQUESTS, "id", "body")}),
+        cut AS (SELECT id, odd, CASE WHEN NOT odd THEN trim(coalesce(body ->> '$.word', '')) END AS word, CASE WHEN NOT odd THEN coalesce((body ->> '$.max_distance')::INT, 3) END AS most FROM asked)
+        SELECT id, CASE WHEN odd OR most < 0 OR word = '' THEN 400 ELSE 200 END AS code, CASE WHEN odd OR most < 0 THEN 'Invalid request' WHEN word = '' THEN 'No word provided' END AS error,
+               CASE WHEN NOT odd AND most >= 0 AND word <> '' THEN ({lower_sql("cut.word")} IN (SELECT word FROM frequent))::VARCHAR END AS exists_in_vocab FROM cut""",
+    "enrich_aligned": f"SELECT doc_id, length(text) AS n_text, CASE WHEN {strip_sql('text')} = '' THEN 0 ELSE length(text) END AS n_value FROM documents",
+    "row_at": "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 1 OFFSET 42",
     "accuracy_by_type": f"WITH {JUDGED} SELECT error_type, {ACCURACY} FROM results GROUP BY error_type",
     "weighted_distance": f"WITH RECURSIVE pairs AS {values_sql(PAIRS, 'a', 'b')}, {TABLES} SELECT a, b, distance FROM distances",
     "weighted_cascade": f"{WEIGHTED} SELECT * FROM judged",

@@ -11,6 +11,8 @@ from quillmill.functions.text import setting
 TEXTS = "author string, title string, url string, text string"
 SPELLING_TESTS = "input string, expected string, type string"
 GROWTH_POINTS = "tokens bigint, types bigint, log_tokens double, log_types double"
+#: What is added to the name of a table that is being replaced.
+ASIDE = ".aside"
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -24,6 +26,19 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
         raise
 
 
+def missing_columns(df: DataFrame, columns: list[str]) -> list[str]:
+    """Those of columns that df lacks, in their order; names count as Spark's do, whatever their case."""
+    known = {c.lower() for c in df.columns}
+    return [c for c in columns if c.lower() not in known]
+
+
+def require_columns(df: DataFrame, columns: list[str], what: str = "the table") -> DataFrame:
+    """df, if it has all of columns; else a ValueError that names what is missing."""
+    if missing := missing_columns(df, columns):
+        raise ValueError(f"{what} lacks {', '.join(missing)}")
+    return df
+
+
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """JSON documents that may span lines: an object, or an array of them."""
     reader = spark.read.option("multiLine", True)
@@ -50,18 +65,36 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def restore(spark: SparkSession, path: str) -> bool:
+    """Puts back the table that a swap() had set aside when it was cut short; whether there was one to put back."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    here, aside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ASIDE)
+    fs = here.getFileSystem(conf)
+    return bool(fs.exists(aside) and not fs.exists(here) and fs.rename(aside, here))
+
+
 def swap(spark: SparkSession, fresh: str, path: str, backup: str | None = None) -> None:
-    """Puts the table at fresh in the place of path, which moves to backup or goes."""
+    """Puts the table at fresh in the place of path, which moves to backup or goes.
+
+    The old table is renamed, never deleted, before the new one has its place: whenever this is cut short, restore() or
+    the next swap() finds one of the two whole.
+    """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
-    fs = old.getFileSystem(conf)
-    if fs.exists(old):
-        if backup:
-            fs.rename(old, jvm.org.apache.hadoop.fs.Path(backup))
-        else:
-            fs.delete(old, True)
-    if not fs.rename(new, old):
+    at = lambda x: jvm.org.apache.hadoop.fs.Path(x)
+    fs = at(path).getFileSystem(conf)
+    restore(spark, path)
+    aside = backup or path + ASIDE
+    if fs.exists(at(path)):
+        if fs.exists(at(aside)):
+            fs.delete(at(aside), True)
+        if not fs.rename(at(path), at(aside)):
+            raise OSError(f"cannot move {path} to {aside}")
+    if not fs.rename(at(fresh), at(path)):
+        if fs.exists(at(aside)):
+            fs.rename(at(aside), at(path))
         raise OSError(f"cannot move {fresh} to {path}")
+    if not backup:
+        fs.delete(at(aside), True)
 
 
 def write_report(df: DataFrame, path: str) -> None:

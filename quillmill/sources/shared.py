@@ -37,9 +37,9 @@ class Kept:
     def __exit__(self, *error) -> None:
         self.drop()
 
-    def __call__(self, df: DataFrame) -> DataFrame:
+    def __call__(self, df: DataFrame, *partitions: str) -> DataFrame:
         path = f"{shared_dir(self.spark)}/kept-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.partitionBy(*partitions).parquet(path)
         self.drop()
         self.path = path
         return self.spark.read.parquet(path)

@@ -11,13 +11,18 @@ from pyspark.sql import DataFrame, functions as F
 from quillmill.functions.text import filled, strip
 
 
-def pending(docs: DataFrame, done: DataFrame, key: str, start: int = 0, limit: int | None = None) -> DataFrame:
-    """Rows from start on whose key has no filled result in done (key, value)."""
+def pending(docs: DataFrame, done: DataFrame, key: str, start: int | None = 0, limit: int | None = None) -> DataFrame:
+    """Rows from start on, of all keys if it is None, whose key has no filled result in done (key, value)."""
     ready = done.where(strip(filled("value")) != "").select(key)
-    rest = docs.where(F.col(key) >= start).join(ready, key, "left_anti")
+    rest = (docs if start is None else docs.where(F.col(key) >= start)).join(ready, key, "left_anti")
     return rest.orderBy(key).limit(limit) if limit is not None else rest
 
 
+def row_at(docs: DataFrame, key: str, place: int) -> DataFrame:
+    """The row at a place, from 0, in the order of key; none beyond the end."""
+    return docs.orderBy(key).offset(place).limit(1)
+
+
 def enrich(docs: DataFrame, model: Callable[[str], str], key: str, text: str, tries: int = 3, wait: float = 2.0) -> DataFrame:
     """(key, value, error): model(text) of each row. Blank texts give the empty string without a call; a call is tried again after a wait."""
     def one(content: str | None) -> tuple[str | None, str | None]:
@@ -43,21 +48,40 @@ def enrich(docs: DataFrame, model: Callable[[str], str], key: str, text: str, tr
 
 
 def run(docs: DataFrame, path: str, model: Callable[[str], str], key: str, text: str, every: int = 1000, tries: int = 3, wait: float = 2.0) -> None:
-    """Enriches what is pending in ranges of every keys, each appended to path/values and path/errors as it ends: a run that stops goes on where it was."""
+    """Enriches what is pending, about every rows at a time, each lot appended to path/values and path/errors as it ends: a run that stops goes on where it was.
+
+    What is pending is found once and kept in the shared folder, cut to lots by a hash of the key: how ids are spread does
+    not matter, and each lot is read by itself.
+    """
     from quillmill.sources.files import append_errors, read_table
+    from quillmill.sources.shared import Kept
 
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    bounds = docs.agg(F.min(key), F.max(key)).first()
-    low = bounds[0]
-    while low is not None and low <= bounds[1]:
-        done = read_table(spark, f"{path}/values", f"`{key}` {kind}, value string")
-        part = pending(docs.where((F.col(key) >= low) & (F.col(key) < low + every)), done, key, start=low)
-        found = enrich(part, model, key, text, tries, wait).persist()
-        found.where("error IS NULL").select(key, "value").write.mode("append").parquet(f"{path}/values")
-        append_errors(found.select(key, "error"), f"{path}/errors")
-        found.unpersist()
-        low += every
+    done = read_table(spark, f"{path}/values", f"`{key}` {kind}, value string")
+    with Kept(spark) as keep:
+        rest = keep(pending(docs.select(key, text), done, key, start=None))
+        lots = -(-rest.count() // every)
+        if lots > 1:
+            rest = keep(rest.withColumn("lot", F.pmod(F.xxhash64(key), F.lit(lots))).repartition("lot"), "lot")
+        for lot in range(lots):
+            found = enrich(rest.where(F.col("lot") == lot) if lots > 1 else rest, model, key, text, tries, wait).persist()
+            found.where("error IS NULL").select(key, "value").write.mode("append").parquet(f"{path}/values")
+            append_errors(found.select(key, "error"), f"{path}/errors")
+            found.unpersist()
+
+
+def align(docs: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """docs with the columns of done, which must have a row for each of theirs and no other: else a ValueError says how many rows are without a partner.
+
+    Rows are matched by key, never by place. Repeated keys on either side are refused too: they cannot be told apart.
+    """
+    keys = lambda df, name: df.groupBy(F.col(key).alias("k")).agg(F.count("*").alias(name))
+    both = keys(docs, "a").join(keys(done, "b"), "k", "full")
+    odd = both.agg(F.count_if(F.col("b").isNull()).alias("lacking"), F.count_if(F.col("a").isNull()).alias("unknown"), F.count_if((F.col("a") > 1) | (F.col("b") > 1)).alias("repeated")).first()
+    if odd.lacking or odd.unknown or odd.repeated:
+        raise ValueError(f"tables do not match by {key}: {odd.lacking} keys without a result, {odd.unknown} results without a row, {odd.repeated} repeated keys")
+    return docs.join(done, key)
 
 
 def enriched(docs: DataFrame, done: DataFrame, key: str, name: str = "modern_text") -> DataFrame:
