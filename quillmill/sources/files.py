@@ -82,6 +82,8 @@ def swap(spark: SparkSession, fresh: str, path: str, backup: str | None = None)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = lambda x: jvm.org.apache.hadoop.fs.Path(x)
     fs = at(path).getFileSystem(conf)
+    if not fs.exists(at(fresh)):
+        raise OSError(f"cannot move {fresh} to {path}: it is not there")
     restore(spark, path)
     aside = backup or path + ASIDE
     if fs.exists(at(path)):

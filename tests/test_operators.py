@@ -108,6 +108,20 @@ def test_search_by_pieces_is_a_search_of_all(spark, docs):
     assert got == want
 
 
+def test_growth_does_not_mind_how_ids_are_spread(spark, docs):
+    far = docs.withColumn("doc_id", F.when(F.col("doc_id") == 0, -(10**17)).otherwise(F.col("doc_id") * F.col("doc_id")))
+    assert corpus.vocabulary_growth(far).orderBy("tokens").collect() == corpus.vocabulary_growth(docs).orderBy("tokens").collect()
+    with pytest.raises(TypeError, match="number"):
+        corpus.vocabulary_growth(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_keys_of_pairs_are_cut_at_the_first_arrow(spark):
+    from quillmill.functions.text import pair_key, unpaired
+
+    df = spark.createDataFrame([("a", "b"), ("ə", "->"), ("", "x")], "a string, b string").select("a", "b", unpaired(pair_key(F.col("a"), F.col("b"))).alias("p"))
+    assert all((r.a, r.b) == tuple(r.p) for r in df.collect())
+
+
 def test_no_prediction_is_a_failure(spark):
     rows = spark.createDataFrame([("a", None), ("a", "a"), (None, None)], "expected string, predicted string")
     got = evaluate.accuracy(evaluate.judged(rows, "predicted", "expected")).first()

@@ -1,0 +1,64 @@
+"""Published figures, replayed from their inputs."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillmill.functions.segment import SEGMENTERS, metrics
+from quillmill.operators import corpus, evaluate
+
+#: Distinct tokens after each 1,000 tokens of a corpus of 132,975.
+TYPES = [
+    777, 1464, 2104, 2662, 3180, 3666, 4197, 4643, 5135, 5576, 6109, 6602, 7137, 7547, 7982, 8371, 8827, 9227, 9665, 10114,
+    10563, 10927, 11305, 11698, 12150, 12593, 12964, 13326, 13709, 14096, 14519, 14967, 15380, 15798, 16218, 16605, 16984, 17352, 17733, 18124,
+    18404, 18743, 19076, 19436, 19733, 20118, 20489, 20803, 21093, 21420, 21728, 22079, 22394, 22867, 23309, 23715, 24125, 24498, 24977, 25332,
+    25517, 25900, 26289, 26693, 27054, 27477, 27865, 28253, 28670, 29062, 29410, 29870, 30322, 30707, 31070, 31394, 31736, 32056, 32315, 32665,
+    32949, 33241, 33601, 34045, 34473, 34897, 35305, 35636, 35962, 36366, 36696, 37046, 37399, 37754, 38080, 38407, 38730, 39039, 39321, 39621,
+    39993, 40340, 40597, 40949, 41290, 41649, 41985, 42327, 42724, 43131, 43494, 43837, 44174, 44522, 44882, 45214, 45508, 45813, 46177, 46505,
+    46765, 47047, 47348, 47665, 47944, 48224, 48538, 48809, 49060, 49324, 49640, 49928, 50232,
+]
+#: Poems in couplets, and the lengths of their published segments.
+POEMS = [
+    "Yenə bir təzə gözələ aşiq oldum,\nHər an hiylə ilə məni yüz qovğaya salır.\nYumruq vurub, köhnəlmiş vücudumu gah həbs edir,\nGah da sərasimə və çılpaq buraxır səhraya.\nÜzümün qanı ilə sinəmi al qırmızı etdim ki,\nO laqeyd bütə sənət aləti olsun.\nBu nə işdir ki, bizi iynə kimi incəldib,\nİplik kimi hər an uzun bir sevdaya salır.\nAvarələrin ayağını məharətlə bağlamış,\nOnun küçəsində gəzən şeydaya yoxdur son.\nParça-parça olmuşkən, qəmzə bayrağını çəkib,\nDərd çəkən mənə bir gün də çarə olmadı.\nYaxasını cıranı başmaq kimi salır ayağa,\nEy Füzuli, bax onun etdiyi laqeydliyə.",
+    "Bağa gir, bülbülə üzünün gülünü ərz et,\nGülün şöhrətini yıx, bülbülün gözündə onu xar et.\nBağ şahidlərinə saçlarınla gözlərini göstər,\nSünbülü pərişan edib, nərgizi isə xəstə et.\nQönçəyə zərifliyindən danışmağa imkan vermə,\nHər an onu danışığından utandır.\nSərvə azadlıq adı ilə gəzmək yaraşmaz,\nOnu da yeriyiş tərzinə giriftar et.\nEy könül, bu dünyanı tərk etməyə cəhd et,\nQəflət yuxusunda ikən özünü oyat.\nEy ciyər yarası, onun oxunu görüb ağız açma,\nGizli sirrimi kimə çatdırsan, bəsdir, aşkar et.\nFüzuli, istəklərini başqa arzularından kəs,\nHarada olsan, görüşməyin səadətini tələb et.",
+    "Ağlayan göz içində oxun qana batıb,\nSanki qan içində yazılmış bir əlifdir.\nYerinə düşər, yanan sinəmə gülxən desələr,\nÇünki oxun yanan sinəmin içində yanıb.\nCanı bədənimdə niyə saxlayardım, əgər bilsəydim\nKi, ləl dodağının qəmi canda gizli deyil.\nGözlərimdən oxlarını çıxar, ey könül,\nHeyifdir, birdən kirpiklərim içində itərlər.\nYarılmış könlümün arasında oxunun ucu yaraşır,\nGülümsəyən qönçənin içində şeh damlası xoş görünür.\nBoyuna sərv deyən, qönçələrin tənəsindən\nSəba yeli heç bir gülistanda dayana bilməz.\nEy Füzuli, ürəyimin yanmasını kimə izah edim,\nHicran atəşi içində mənim kimi yanan yoxdur.",
+    "Aşiq oldum yenə bir tazə güli-rənayə\nKi, salır al ilə hər dəm məni yüz qovğayə.\nMüşt urub, qalibi-fərsudəmi gəh həbs qılır,\nGəh sərasiməvü üryan buraxır səhrayə.\nÜzümün qani ilə sinəmi al etdim kim,\nAləti-sənət ola ol büti-bipərvayə.\nBu nə işdir ki, bizi iynə kimi incəldib,\nSalır iplik kimi hərdəm bir uzun sevdayə.\nAyağın bağlamış avarələrin sənət ilə,\nYox nihayət səri-kuyində gəzən şeydayə.\nLəxt-ləxt olmuş ikən, qəmzə dirəfşini çəkib,\nÇarəsiz olmadı bir gün məni-qəmfərsayə.\nYaxa çak edəni başmaq kimi salır ayağa,\nEy Füzuli, bax onun etdiyi istiğnayə.",
+]
+LENGTHS = [[72, 89, 75, 81, 78, 83, 78], [88, 87, 76, 73, 74, 91, 87], [73, 80, 88, 81, 97, 83, 89], None]
+#: Cases and passed cases by type of error.
+CASES = {"anglicization": (25, 9), "deletion": (10, 5), "transposition": (6, 1), "insertion": (5, 3), "phonetic": (4, 1)}
+
+
+def test_heaps_fit_of_the_published_points(spark):
+    tokens = [1000 * (i + 1) for i in range(132)] + [132_975]
+    points = spark.createDataFrame([(n, v, math.log(n), math.log(v)) for n, v in zip(tokens, TYPES, strict=True)], "tokens long, types long, log_tokens double, log_types double")
+    fit = corpus.fit_heaps(points).first()
+    assert (fit.k, fit.beta, fit.r2) == pytest.approx((2.305737586635824, 0.8465996707590482, 0.9998122016071375), rel=1e-9) and fit.num_points == 133
+
+
+@pytest.mark.parametrize("method", list(SEGMENTERS))
+def test_segments_of_the_published_poems(spark, method):
+    df = spark.createDataFrame(list(enumerate(POEMS)), "i int, text string")
+    rows = df.select("i", SEGMENTERS[method](F.col("text")).alias("s")).select("i", "s", metrics(F.col("s")).alias("m")).orderBy("i").collect()
+    for r, text, lengths in zip(rows, POEMS, LENGTHS, strict=True):
+        lines = text.split("\n")
+        assert r.s == ["\n".join(lines[k : k + 2]).removesuffix(".") for k in range(0, 14, 2)] and r.m.num_segments == 7
+        assert lengths is None or [len(x) for x in r.s] == lengths
+
+
+def test_roll_up_of_the_published_cases(spark):
+    rows = [(kind, "PASS" if k < passed else "FAIL") for kind, (n, passed) in CASES.items() for k in range(n)]
+    results = spark.createDataFrame(rows, "error_type string, status string")
+    all_of = evaluate.accuracy(results).first()
+    assert (all_of.total, all_of.passed, all_of.accuracy) == (50, 19, 38.0)
+    assert {r.error_type: (r.total, r.passed) for r in evaluate.accuracy(results, ["error_type"]).collect()} == CASES
+
+
+def test_accuracy_over_errors_of_the_published_counts(spark):
+    counts = [("insertion", "FAIL", 58), ("substitution", "PASS", 12), ("correct", "PASS", 235), ("deletion", "FAIL", 74), ("insertion", "PASS", 9), ("transposition", "FAIL", 59), ("substitution", "FAIL", 40), ("deletion", "PASS", 4), ("transposition", "PASS", 9)]
+    results = spark.createDataFrame(counts, "error_type string, status string, n int").select("error_type", "status", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
+    got = evaluate.error_accuracy(results).first()
+    assert (got.total, got.errors, got.corrected, round(got.accuracy, 2)) == (500, 265, 34, 12.83)
+    none = evaluate.error_accuracy(results.where("error_type = 'correct'")).first()
+    assert (none.errors, none.accuracy) == (0, 0.0)
