@@ -2,9 +2,11 @@
 
 The digest array is one file: sorted 64-bit xxhash keys, offsets and the full strings. Each Python worker
 memory-maps it, probes whole batches by vectorised binary search, and compares the stored string of each hit, so
-that two strings with one key are told apart.
+that two strings with one key are told apart. A list too long to be shipped whole is cut to shards by its keys; each
+shard is such a file for the time of one task, and the distinct names that urls ask for are probed in theirs.
 """
 
+import atexit
 import hashlib
 import mmap
 import os
@@ -13,6 +15,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,16 +27,26 @@ RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-#: Site names whose pages are unwanted, and the domains they are registered under.
-UNWANTED = ("adult-videos", "bet-now", "casino-bonus", "cheap-pills", "click-bait", "crack-downloads", "fake-watches",
-            "free-gifts", "link-exchange", "payday-loans", "spam-farm", "warez")
+#: What unwanted sites are called, by trade: any word of the first row, a hyphen, any of the second; and the domains they are registered under.
+TRADES = (
+    ("bet bets casino free lottery lotto lucky poker roulette slots", "bets bonus jackpot now online royal spins vip win"),
+    ("cheap discount online rx", "meds pharmacy pills viagra"),
+    ("adult cam nude porn sex xxx", "cams chat girls tube videos x"),
+    ("ads click link popup spam", "bait exchange farm network server track"),
+    ("crack keygen nulled torrent warez", "downloads files hub serials zone"),
+    ("fake replica", "bags ids watches"),
+    ("free instant payday", "cash gifts iphones loans"),
+)
 DOMAINS = ("example.com", "example.net", "example.org")
-#: A digest file up to this size is shipped to every executor; a larger list is joined instead.
+#: A digest file up to this size is shipped to every executor; a longer list goes in shards of about this size.
 MAX_SHIPPED_BYTES = 256 << 20
+#: Names that are probed in one shard, about.
+PROBED = 5_000_000
 
 
 def default_blocklist() -> list[str]:
-    return [f"{name}.{domain}" for name in UNWANTED for domain in DOMAINS]
+    """Names by the trades above: an example list; pass one of your own for real use."""
+    return [f"{a}-{b}.{domain}" for first, second in TRADES for a in first.split() for b in second.split() for domain in DOMAINS]
 
 
 class DigestArray:
@@ -47,10 +60,20 @@ class DigestArray:
 
     @staticmethod
     def pack(strings: Iterable[str], key=xxhash.xxh64_intdigest) -> bytes:
-        rows = sorted((key(b), b) for b in {s.encode() for s in strings})
-        offsets = np.cumsum([0, *(len(b) for _, b in rows)]).astype("<u8")
-        head = np.array([len(rows)], "<u8").tobytes() + np.array([k for k, _ in rows], "<u8").tobytes()
-        return head + offsets.tobytes() + b"".join(b for _, b in rows)
+        names = sorted({s.encode() if isinstance(s, str) else s for s in strings})
+        keys = np.fromiter(map(key, names), "<u8", len(names))
+        by = np.argsort(keys, kind="stable")
+        sizes = np.fromiter(map(len, names), "<u8", len(names))[by]
+        offsets = np.concatenate([np.zeros(1, "<u8"), np.cumsum(sizes, dtype="<u8")])
+        return b"".join((np.array([len(names)], "<u8").tobytes(), keys[by].tobytes(), offsets.tobytes(), *(names[i] for i in by)))
+
+    @classmethod
+    def mapped(cls, packed: bytes) -> "DigestArray":
+        """The same from a nameless file of this task, which goes with it."""
+        with tempfile.TemporaryFile() as f:
+            f.write(packed)
+            f.flush()
+            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
     @classmethod
     def open(cls, path: str) -> "DigestArray":
@@ -105,22 +128,25 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
 def judge_urls(df: DataFrame, url: str = "url", rules=RULES, blocklist: Sequence[str] | DataFrame | None = None, max_bytes: int = MAX_SHIPPED_BYTES) -> DataFrame:
     """df with host, path, rule and verdict in place of columns of those names.
 
-    A list whose digest file stays within max_bytes is shipped to the workers and memory-mapped. A longer one, or one
-    given as a DataFrame with a column name, is joined by the names themselves and may be of any size.
+    blocklist: names, or a table of any size with a column name; null names block nothing. A list whose digest file stays
+    within max_bytes is shipped to the workers and memory-mapped; a longer one is probed shard by shard, with equal results.
     Null urls and urls without :// have empty host and path, no rule, and are allowed. Empty tables stay empty;
     repeated rows are judged alike, each in its own row; long urls are judged whole; other columns pass through.
     """
     spark = df.sparkSession
-    host, path = host_of(F.col(url)), path_of(F.col(url))
-    out = df.withColumns({"host": host, "path": path})
+    out = df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     out = out.withColumn("__rule", rule_for(F.col("host"), F.col("path"), rules))
     if not isinstance(blocklist, DataFrame):
-        packed = DigestArray.pack(default_blocklist() if blocklist is None else blocklist)
-        if len(packed) <= max_bytes:
-            out = out.withColumn("__blocked", _probe(spark, packed)(F.col("host"), F.col("path")))
-            return _with_verdict(out)
-        blocklist = spark.createDataFrame([(x,) for x in blocklist], "name string")
-    return _with_verdict(_joined(out, blocklist))
+        names = default_blocklist() if blocklist is None else list(blocklist)
+        if sum(len(x) * 4 + 16 for x in names) > max_bytes:
+            blocklist = spark.createDataFrame([(x,) for x in names], "name string")
+    if isinstance(blocklist, DataFrame):
+        blocklist = blocklist.select("name").where("name IS NOT NULL").distinct()
+        n_bytes = blocklist.agg(F.sum(F.octet_length("name") + 16)).first()[0] or 0
+        if n_bytes > max_bytes:
+            return _with_verdict(_sharded(out, blocklist, -(-n_bytes // max(1, max_bytes))))
+        names = [r.name for r in blocklist.toLocalIterator()]  # max_bytes at most
+    return _with_verdict(out.withColumn("__blocked", _probe(spark, DigestArray.pack(names))(F.col("host"), F.col("path"))))
 
 
 def _with_verdict(out: DataFrame) -> DataFrame:
@@ -130,11 +156,13 @@ def _with_verdict(out: DataFrame) -> DataFrame:
 
 def _probe(spark, packed: bytes):
     name = f"digests-{hashlib.sha1(packed).hexdigest()[:16]}.bin"
-    staged = os.path.join(tempfile.mkdtemp(), name)
-    with open(staged, "wb") as f:
-        f.write(packed)
     if not any(x.endswith("/" + name) for x in spark.sparkContext.listFiles):
-        spark.sparkContext.addFile(staged)  # the driver serves it to executors; each maps its own read-only copy
+        folder = tempfile.TemporaryDirectory()
+        atexit.register(folder.cleanup)
+        staged = os.path.join(folder.name, name)
+        with open(staged, "wb") as f:
+            f.write(packed)
+        spark.sparkContext.addFile(staged)  # the driver serves it to executors as long as it lives; each maps its own read-only copy
 
     @F.pandas_udf("boolean")
     def blocked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -149,13 +177,25 @@ def _probe(spark, packed: bytes):
     return blocked
 
 
-def _joined(out: DataFrame, blocklist: DataFrame) -> DataFrame:
+def _probe_shard(asked: pa.Table, listed: pa.Table) -> pa.Table:
+    names = [x.as_buffer().to_pybytes() for x in asked.column("name")]
+    digests = DigestArray.mapped(DigestArray.pack(x.as_buffer().to_pybytes() for x in listed.column("name")))
+    return pa.table({"name": asked.column("name").filter(pa.array(digests.contains(names)))})
+
+
+def _sharded(out: DataFrame, blocklist: DataFrame, shards: int) -> DataFrame:
+    """out with __blocked. Only distinct names meet the shards, so no host weighs more than another there."""
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    names = F.array_distinct(F.concat(suffixes, F.array(F.concat("host", "path"))))
-    urls = out.select("host", "path").distinct()
-    hits = urls.withColumn("name", F.explode(names)).join(blocklist.select("name").distinct(), "name").select("host", "path").distinct()
-    return out.join(hits.withColumn("__blocked", F.lit(True)), ["host", "path"], "left").withColumn("__blocked", F.coalesce("__blocked", F.lit(False)))
+    names = F.when(F.col("host") != "", F.array_distinct(F.concat(suffixes, F.array(F.concat("host", "path")))))
+    urls = out.select("host", "path").distinct().withColumn("name", F.explode(names))
+    asked = urls.select("name").distinct()
+    shards = max(shards, -(-asked.count() // PROBED))
+    shard = F.pmod(F.xxhash64("name"), F.lit(shards)).alias("shard")
+    sides = [x.select("name", shard).groupBy("shard") for x in (asked, blocklist)]
+    hits = urls.join(sides[0].cogroup(sides[1]).applyInArrow(_probe_shard, "name string"), "name").select(F.col("host").alias("__h"), F.col("path").alias("__p")).distinct()
+    found = out.join(hits.withColumn("__blocked", F.lit(True)), (F.col("host") == F.col("__h")) & (F.col("path") == F.col("__p")), "left")
+    return found.withColumn("__blocked", F.coalesce("__blocked", F.lit(False))).drop("__h", "__p")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -165,7 +205,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
-ORACLE = """
+UNWANTED = "|".join(f"({'|'.join(a.split())})-({'|'.join(b.split())})" for a, b in TRADES)
+ORACLE = f"""
 WITH cut AS (
   SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1) AS raw,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
@@ -180,7 +221,7 @@ ruled AS (
   FROM named)
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-    WHEN regexp_matches(host, '^(.*\\.)?(adult-videos|bet-now|casino-bonus|cheap-pills|click-bait|crack-downloads|fake-watches|free-gifts|link-exchange|payday-loans|spam-farm|warez)\\.example\\.(com|net|org)$') THEN 'block'
+    WHEN regexp_matches(host, '^(.*\\.)?({UNWANTED})\\.example\\.(com|net|org)$') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM ruled
 """

@@ -452,7 +452,7 @@ def judged(url, blocked=()):
     return host, path, rule, verdict or ("block" if mine and host else "allow")
 
 
-@pytest.mark.parametrize("max_bytes", [urlfilter.MAX_SHIPPED_BYTES, 0])
+@pytest.mark.parametrize("max_bytes", [urlfilter.MAX_SHIPPED_BYTES, 4000])
 def test_urls_by_rules_and_list(spark, max_bytes):
     df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)], "page_id long, url string, host string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge_urls(df, max_bytes=max_bytes, blocklist=urlfilter.default_blocklist()).collect()}
@@ -462,11 +462,30 @@ def test_urls_by_rules_and_list(spark, max_bytes):
 
 def test_a_list_may_be_a_table_and_may_be_empty(spark):
     df = spark.createDataFrame([(1, "http://bad.x/p"), (2, "http://ok.x/"), (3, "http://ok.x/p")], "page_id long, url string")
-    names = spark.createDataFrame([("bad.x",), ("ok.x/p",), ("bad.x",)], "name string")
-    assert {r.page_id: r.verdict for r in urlfilter.judge_urls(df, blocklist=names).collect()} == {1: "block", 2: "allow", 3: "block"}
+    names = spark.createDataFrame([("bad.x",), ("ok.x/p",), ("bad.x",), (None,)], "name string")
+    for most in (urlfilter.MAX_SHIPPED_BYTES, 8):
+        assert {r.page_id: r.verdict for r in urlfilter.judge_urls(df, blocklist=names, max_bytes=most).collect()} == {1: "block", 2: "allow", 3: "block"}
+    assert {r.verdict for r in urlfilter.judge_urls(df, blocklist=names.limit(0)).collect()} == {"allow"}
     assert {r.verdict for r in urlfilter.judge_urls(df, blocklist=[]).collect()} == {"allow"}
 
 
+def test_a_long_list_is_probed_in_shards(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "PROBED", 50)
+    r = random.Random(7)
+    host = lambda: ".".join(r.choice("abcdefgh") * r.randint(1, 2) for _ in range(r.randint(1, 3)))
+    urls = [f"http://{host()}/{r.choice(['', 'p', 'q/r'])}" for _ in range(600)]
+    listed = [host() for _ in range(120)] + ["ab.c/p", "a/q/r"]
+    df = spark.createDataFrame([(i, u, "own") for i, u in enumerate(urls)], "page_id long, url string, name string")
+    got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in urlfilter.judge_urls(df, blocklist=spark.createDataFrame([(x,) for x in listed], "name string"), max_bytes=500).collect()}
+    assert got == {i: judged(u, listed) for i, u in enumerate(urls)} and {v[3] for v in got.values()} == {"block", "allow"}
+
+
+def test_the_example_list_goes_by_trades():
+    names = urlfilter.default_blocklist()
+    assert len(names) == len(set(names)) > 600
+    assert {"casino-win.example.com", "free-bets.example.com", "ads-track.example.com", "adult-x.example.net", "spam-farm.example.org", "cheap-pills.example.com"} <= set(names)
+
+
 def test_equal_keys_are_told_apart_by_the_strings(tmp_path):
     clash = lambda b: len(b) % 3
     names = ["a", "bb", "ccc", "dddd", "eeeee", ""]
