@@ -2,13 +2,16 @@
 
 A window is three consecutive lines that hold something besides white space. Windows are hashed, those that occur more
 than once anywhere are found by a pre-aggregated count, and of each the first occurrence, by document and line, stays.
-The lines that later occurrences cover, blank ones between included, are merged to ranges and cut out.
+The positions that later occurrences cover, blank lines between included, are merged and cut out; where a later occurrence
+overlaps the first one of the same window, the lines of the first stay.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quillmill.functions.text import let
+
 #: Lines in a window.
 WINDOW = 3
 
@@ -38,14 +41,10 @@ def _windows(full: Column) -> Column:
 
 
 def _without(lines: Column, cuts: Column) -> Column:
-    """lines without the ranges of cuts, which may overlap."""
-    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("out"))
-    step = lambda acc, c: F.struct(
-        F.greatest(acc["next"], c["last"] + 1).alias("next"),
-        F.concat(acc["out"], F.slice(lines, acc["next"] + 1, F.greatest(c["first"] - acc["next"], F.lit(0)))).alias("out"),
-    )
-    done = lambda acc: F.concat(acc["out"], F.slice(lines, acc["next"] + 1, F.greatest(F.size(lines) - acc["next"], F.lit(0))))
-    return F.aggregate(F.array_sort(cuts), start, step, done)
+    """lines without the positions that cuts cover, in time that grows with both and not with their product."""
+    gone = F.flatten(F.transform(cuts, lambda c: F.sequence(c["first"], c["last"])))
+    left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone)
+    return let(lines, lambda x: F.transform(left(x), lambda i: F.get(x, i)))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -53,17 +52,19 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     Null texts stay null, with no lines; texts of fewer than three filled lines stay as they are; an empty text has one
     line. A document is known by its id and text: rows that repeat both are one document and are cut alike, and a null id
-    comes before all others. Within a document a later window may overlap the first: its lines go all the same.
-    Long texts are handled whole, other columns pass through, empty tables stay empty.
+    comes before all others. Within a document a later window may overlap the first: the lines of the first
+    stay, the others of the later one go. Long texts are handled whole, other columns pass through, empty tables stay empty.
     """
     keyed = docs.withColumn("__print", F.xxhash64(text))
     filled = keyed.select(F.col(doc_id).alias("__id"), "__print", _filled(lines_of(F.col(text))).alias("full"))
     windows = filled.select("__id", "__print", F.explode_outer(_windows(F.col("full"))).alias("w")).select("__id", "__print", "w.*").where("first IS NOT NULL")
-    place = F.struct("__id", "__print", "first")
+    place = F.struct("__id", "__print", "first", "last")
     # Repeated rows have equal places: a window counts as repeated only if it has two of them.
     repeated = windows.groupBy("k1", "k2").agg(F.min(place).alias("kept"), F.max(place).alias("other")).where("kept <> other").drop("other")
     later = windows.join(repeated, ["k1", "k2"]).where(place != F.col("kept"))
-    cuts = later.groupBy("__id", "__print").agg(F.collect_set(F.struct("first", "last")).alias("__cuts"))
+    mine = F.col("__id").eqNullSafe(F.col("kept.__id")) & F.col("__print").eqNullSafe(F.col("kept.__print"))
+    start = F.when(mine, F.greatest(F.col("first"), F.col("kept.last") + 1)).otherwise(F.col("first"))
+    cuts = later.groupBy("__id", "__print").agg(F.collect_set(F.struct(start.alias("first"), "last")).alias("__cuts"))
     same = F.col(doc_id).eqNullSafe(F.col("c.__id")) & F.col("d.__print").eqNullSafe(F.col("c.__print"))
     out = keyed.alias("d").join(cuts.alias("c"), same, "left").drop(F.col("c.__id"), F.col("c.__print"))
     out = out.withColumn("__lines", F.when(F.col("__cuts").isNotNull(), lines_of(F.col(text))))
@@ -75,11 +76,16 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without repeated passages; documents of which nothing is left go."""
-    out = dedup_lines(docs).where("n_removed = 0 OR n_removed < n_lines")
+    """Pipeline stage: texts without repeated passages, as dedup_lines() cuts them; documents of which nothing is left go.
+
+    Null and empty texts stay as they are; rows that repeat id and text are cut alike; ties and null ids are as there; an
+    empty table stays empty. n_chars, if there, follows the text; other columns of docs stay, whatever their names.
+    """
+    kept = docs.withColumnsRenamed({c: f"__own_{c}" for c in ("n_lines", "n_removed") if c in docs.columns})
+    out = dedup_lines(kept).where("n_removed = 0 OR n_removed < n_lines")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(f"__own_{c}").alias(c) if c in ("n_lines", "n_removed") else F.col(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -96,8 +102,12 @@ filled AS (SELECT * FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 wins AS (
   SELECT doc_id, i AS a, lead(i, 2) OVER w AS b, line AS l1, lead(line) OVER w AS l2, lead(line, 2) OVER w AS l3
   FROM filled WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, a) AS k FROM wins WHERE b IS NOT NULL),
-gone AS (SELECT DISTINCT l.doc_id, l.i FROM lines l JOIN ranked r ON r.doc_id = l.doc_id AND r.k > 1 AND l.i BETWEEN r.a AND r.b),
+ranked AS (
+  SELECT *, row_number() OVER p AS k, first_value(doc_id) OVER p AS kept_in, first_value(b) OVER p AS kept_to
+  FROM wins WHERE b IS NOT NULL WINDOW p AS (PARTITION BY l1, l2, l3 ORDER BY doc_id, a)),
+gone AS (
+  SELECT DISTINCT l.doc_id, l.i FROM lines l
+  JOIN ranked r ON r.doc_id = l.doc_id AND r.k > 1 AND l.i BETWEEN (CASE WHEN kept_in = r.doc_id THEN greatest(r.a, kept_to + 1) ELSE r.a END) AND r.b),
 kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN l.line END, chr(10) ORDER BY l.i) AS text
   FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)

@@ -60,8 +60,9 @@ def dedup(docs):
         lines = (text or "").split("\n")
         full = [i for i, x in enumerate(lines) if words(x)]
         for a, b, c in zip(full, full[1:], full[2:]):
-            if first.setdefault((lines[a], lines[b], lines[c]), (d, a)) != (d, a):
-                cut[d].update(range(a, c + 1))
+            kept = first.setdefault((lines[a], lines[b], lines[c]), (d, a, c))
+            if kept != (d, a, c):
+                cut[d].update(range(max(a, kept[2] + 1) if kept[0] == d else a, c + 1))
     return {d: (len(t.split("\n")), len(cut[d]), "\n".join(x for i, x in enumerate(t.split("\n")) if i not in cut[d])) if t is not None else (0, 0, None) for d, t in docs}
 
 

@@ -154,6 +154,18 @@ def test_line_dedup_is_that_of_a_scan(spark, seed):
     assert got == dedup(docs)
 
 
+def test_a_first_window_stays_whole_where_later_ones_overlap_it(spark):
+    texts = {"A\nA\nA\nA\nB": "A\nA\nA\nB", "x\nx\nx\nx\nx": "x\nx\nx", "a\nb\na\nb\na\nb": "a\nb\na", "p\nq\nr\np\nq\nr": "p\nq\nr"}
+    for text, want in texts.items():
+        assert linededup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text == want
+
+
+def test_line_dedup_of_texts_with_many_cuts_takes_linear_time(spark):
+    text = "\n".join(["a b", "c d", "e f"] * 20_000)
+    got = linededup.dedup_lines(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.text, r.n_removed) for r in got} == {1: ("a b\nc d\ne f", 59_997), 2: ("", 60_000)}
+
+
 def test_line_dedup_of_repeated_rows_null_ids_and_nothing(spark):
     text = "a\nb\nc\nd"
     rows = [(1, text), (1, text), (2, text), (None, text), (None, "q\n" + text)]
@@ -166,7 +178,8 @@ def test_line_dedup_of_repeated_rows_null_ids_and_nothing(spark):
 
 def test_line_dedup_stage_drops_what_is_empty_and_keeps_columns(spark):
     rows = [(1, "a\nb\nc", 5, "en"), (2, "a\nb\nc", 5, "en"), (3, "a\nb\nc\nd", 7, None), (4, None, None, "de"), (5, "", 0, "de")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, lang string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, n_lines string")
+    assert linededup.stage(spark, docs.limit(0), "").count() == 0 and linededup.stage(spark, docs, "").columns == docs.columns
     got = {r.doc_id: tuple(r)[1:] for r in linededup.stage(spark, docs, "").collect()}
     assert got == {1: ("a\nb\nc", 5, "en"), 3: ("d", 1, None), 4: (None, None, "de"), 5: ("", 0, "de")}
 
