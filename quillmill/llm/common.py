@@ -3,27 +3,23 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quillmill.sources.shared import remove, shared_dir
+
 #: What separates words in most contracts here: ASCII white space only.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 ASCII_WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode only."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    path = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return path
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme of the storage that it is in, its folders made: what others than Spark need to find it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    return fs.makeQualified(where).toString()
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -77,5 +73,4 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         if path := self.paths.pop(name, None):
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            remove(self.spark, path)

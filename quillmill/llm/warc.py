@@ -2,8 +2,9 @@
 
 An archive holds stored (uncompressed) members: WARC data whose records are gzip members of their own, and an index
 with a line for each record. The reader parses the central directory, with the ZIP64 records that large archives have,
-finds the members, and reads single records by offset and length. Archives travel as binary rows, so that writing and
-reading need no folder beyond the shared one.
+finds the members, and reads single records by offset and length. Archives are files in the shared folder, written and
+read by the tasks themselves through pyarrow's file systems, which know local and remote storage; a table lists those
+that count, so that what a lost or repeated task leaves behind is never read.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ import gzip
 import hashlib
 import json
 import struct
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
+from quillmill.llm.common import qualified
+
 #: Fixed values of the formats.
 LOCAL, CENTRAL, END, END64, LOCATOR64, EXTRA64 = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50, 1
 MAX16, MAX32 = 0xFFFF, 0xFFFFFFFF
@@ -25,8 +29,8 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Fixed date: reruns write the same bytes.
 DATE, STAMP = "2024-01-01T00:00:00Z", "20240101000000"
-#: An archive is closed beyond this many bytes of data.
-ARCHIVE_BYTES = 8 << 20
+#: An archive is closed beyond this many bytes of data. A task holds one.
+ARCHIVE_BYTES = 32 << 20
 
 
 class ZipIndex:
@@ -156,6 +160,10 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 def write_archives(rows: Iterable[tuple], archive_bytes: int = ARCHIVE_BYTES, zip64: bool = False) -> Iterator[bytes]:
     """Archives of (page_id, url, payload, refers_to, revisit) rows, closed as they reach archive_bytes."""
     data, index, at = [], [], 0
+
+    def closed() -> bytes:
+        return pack_zip([(DATA, b"".join(data)), (INDEX, "\n".join(index).encode())], zip64)
+
     for page_id, url, payload, refers_to, revisit in rows:
         packed = gzip.compress(warc_record(page_id, url, payload, refers_to, revisit), 1, mtime=0)
         about = {"offset": str(at), "length": str(len(packed)), "filename": DATA, "digest": "sha1:" + payload_digest(payload)}
@@ -163,10 +171,10 @@ def write_archives(rows: Iterable[tuple], archive_bytes: int = ARCHIVE_BYTES, zi
         data.append(packed)
         at += len(packed)
         if at >= archive_bytes:
-            yield pack_zip([(DATA, b"".join(data)), (INDEX, "\n".join(index).encode())], zip64)
+            yield closed()
             data, index, at = [], [], 0
     if data:
-        yield pack_zip([(DATA, b"".join(data)), (INDEX, "\n".join(index).encode())], zip64)
+        yield closed()
 
 
 def read_archive(read, size: int) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
@@ -178,33 +186,49 @@ def read_archive(read, size: int) -> Iterator[tuple[dict[str, str], dict[str, st
             yield parse_record(gzip.decompress(z.slice(about["filename"], int(about["offset"]), int(about["length"]))))
 
 
-def _write(batches):
-    import pyarrow as pa
+def _write(folder: str, archive_bytes: int, zip64: bool):
+    """Writes archives to folder, each under a name that no other attempt of the task has; gives their names and sizes."""
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
 
-    def rows():
-        for b in batches:
-            for page_id, url, html, refers_to, revisit in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                yield page_id, url, (html or "").encode(), refers_to, revisit
+        store, root = fs.FileSystem.from_uri(folder)
 
-    for archive in write_archives(rows()):
-        yield pa.RecordBatch.from_pydict({"content": pa.array([archive], pa.binary())})
+        def rows():
+            for b in batches:
+                for page_id, url, html, refers_to, revisit in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    yield page_id, url, (html or "").encode(), refers_to, revisit
 
+        for archive in write_archives(rows(), archive_bytes, zip64):
+            name = f"{uuid.uuid4().hex}.zip"
+            with store.open_output_stream(f"{root}/{name}") as f:
+                f.write(archive)
+            yield pa.RecordBatch.from_pydict({"name": pa.array([name]), "size": pa.array([len(archive)], pa.int64())})
 
-def _read(batches):
-    import pyarrow as pa
+    return write
+
+
+def _read(folder: str):
+    """Reads the records of listed archives: of each file the directory, the index, and the range of each record, nothing else."""
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
+        for b in batches:
+            for name, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                out = []
+                with store.open_input_file(f"{root}/{name}") as f:
+                    for warc, http, payload in read_archive(lambda start, n, f=f: f.read_at(n, start), size):
+                        kind, digest = warc["warc-type"], warc["warc-payload-digest"].removeprefix("sha1:")
+                        if kind == "response" and payload_digest(payload) != digest:
+                            raise ValueError(f"record {warc['warc-record-id']}: payload and digest differ")
+                        refers_to = _id(warc["warc-refers-to"]) if kind == "revisit" else None
+                        out.append((_id(warc["warc-record-id"]), int(http["content-length"]), digest, kind, refers_to))
+                yield pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate(kinds.items())})
 
-    kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
-    for b in batches:
-        for content in b.column(0):
-            data = content.as_buffer()
-            out = []
-            for warc, http, payload in read_archive(lambda start, n, data=data: data.slice(start, n).to_pybytes(), data.size):
-                kind, digest = warc["warc-type"], warc["warc-payload-digest"].removeprefix("sha1:")
-                if kind == "response" and payload_digest(payload) != digest:
-                    raise ValueError(f"record {warc['warc-record-id']}: payload and digest differ")
-                refers_to = _id(warc["warc-refers-to"]) if kind == "revisit" else None
-                out.append((_id(warc["warc-record-id"]), int(http["content-length"]), digest, kind, refers_to))
-            yield pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate(kinds.items())})
+    return read
 
 
 def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -218,28 +242,35 @@ def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return found.select("page_id", "url", "html", F.col("last").alias("refers_to"), F.col("__s").isNotNull().alias("revisit"))
 
 
-def archive_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Writes a table of archives, one binary row each, with a record for each row of pages.
+def archive_pages(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, zip64: bool = True) -> None:
+    """Writes archives with a record for each row of pages to path/files, and the table of them, name and size, to path/listed.
 
     Of pages with equal payloads of least_bytes or more, that with the largest page_id is a response and the others
     revisit it; rows that repeat an id and its payload are of one kind. A null page_id comes before all others, a null
     url is left out, control characters in a url are percent-encoded, null html is an empty payload. Long payloads are
-    written whole; other columns are not read; an empty table gives no archives.
+    written whole; other columns are not read; an empty table gives no archives. Unless told otherwise archives have the
+    wide records of ZIP64, which sizes beyond 4 GB need.
     """
-    deduplicated(pages, least_bytes).mapInArrow(_write, "content binary").write.parquet(path)
+    folder = qualified(pages.sparkSession, f"{path}/files")
+    deduplicated(pages, least_bytes).mapInArrow(_write(folder, archive_bytes, zip64), "name string, size bigint").write.parquet(f"{path}/listed")
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of each record in a table of archives."""
-    return spark.read.parquet(path).mapInArrow(_read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of each record in the archives that path/listed names."""
+    listed = spark.read.parquet(f"{path}/listed").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a row each: they would come in one split
+    return listed.mapInArrow(_read(qualified(spark, f"{path}/files")), "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from quillmill.llm.common import read, scratch_table
+    """What the archives of all pages hold. It is read back at once, and the archives go."""
+    from quillmill.llm.common import read, remove, scratch_table, settle
 
     path = scratch_table(spark, "archives")
-    archive_pages(read(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path)
+    try:
+        archive_pages(read(spark, sf_dir, "pages"), path)
+        return settle(read_archives(spark, path))
+    finally:
+        remove(spark, path)
 
 
 ORACLE = """

@@ -5,9 +5,11 @@ import gzip
 import hashlib
 import html.parser
 import io
+import json
 import random
 import zipfile
 from collections import defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -196,10 +198,15 @@ def test_damaged_records_are_refused():
         warc.parse_record(record[:-3])
 
 
-def archived(spark, tmp_path, rows, least=0):
+def archived(spark, tmp_path, rows, least=0, **how):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, last string")
     path = f"{tmp_path}/archives-{random.random()}"
-    warc.archive_pages(df, path, least)
+    warc.archive_pages(df, path, least, **how)
+    names = {r.name for r in spark.read.parquet(f"{path}/listed").collect()}
+    assert names == {p.name for p in Path(f"{path}/files").glob("*.zip")}
+    for p in Path(f"{path}/files").glob("*.zip"):
+        assert zipfile.ZipFile(p).testzip() is None
+    (Path(path) / "files" / "left.zip").write_bytes(b"left by a lost task")
     return sorted((tuple(r) for r in warc.read_archives(spark, path).collect()), key=repr)
 
 
@@ -212,11 +219,35 @@ def test_pages_come_back_with_revisits(spark, tmp_path):
         last[v or ""] = max(last[v or ""], -1 if k is None else k)
     want = sorted(((k, len((v or "").encode()), digest(v), "response" if k == last[v or ""] else "revisit", None if k == last[v or ""] else last[v or ""]) for k, _, v, _ in rows), key=repr)
     assert archived(spark, tmp_path, rows) == want
+    assert archived(spark, tmp_path, rows, archive_bytes=200, zip64=False) == want
     small = {r[0]: r[3] for r in archived(spark, tmp_path, rows, least=5)}
     assert small[1] == small[2] == "response"
     assert archived(spark, tmp_path, []) == []
 
 
+def test_only_directories_indexes_and_records_are_read():
+    rows = [(i, "u", bytes([i]) * 3000, None, False) for i in range(50)]
+    (archive,) = warc.write_archives(rows, 1 << 30, True)
+    reads = []
+
+    def read(start, n):
+        reads.append((start, n))
+        return archive[start : start + n]
+
+    z = warc.ZipIndex(read, len(archive))
+    line = z.slice(warc.INDEX).decode().split("\n")[7]
+    about = json.loads(line.split(" ", 2)[2])
+    reads.clear()
+    assert warc.parse_record(gzip.decompress(z.slice(about["filename"], int(about["offset"]), int(about["length"]))))[2] == bytes([7]) * 3000
+    assert [n for _, n in reads] == [30, int(about["length"])]  # the member's header and the record
+
+
+def test_the_query_leaves_no_archives(spark, data):
+    before = {str(p) for p in Path(spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")).glob("archives-*")}
+    assert warc.query(spark, data).count() == spark.read.parquet(f"{data}/pages.parquet").count()
+    assert {str(p) for p in Path(spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")).glob("archives-*")} == before
+
+
 def test_join_is_that_of_all_pairs(spark):
     docs = list(enumerate(made_texts(320, seed=4))) + [(900, None), (901, ""), (902, " \n"), (903, "a b"), (904, "A  b"), (905, "a b c"), (906, "é\xa0a b c d e f g"), (907, "v " * 30_000)]
     random.Random(1).shuffle(docs)
