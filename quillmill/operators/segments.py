@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quillmill.functions.segment import SEGMENTERS, metrics
 
@@ -27,6 +27,22 @@ def statistics(measures: DataFrame) -> DataFrame:
         F.avg(some("avg_length")).alias("avg_segment_length"), F.median(some("median_length")).alias("median_segment_length"), F.sum("empty_segments").alias("empty_segments_total"))
 
 
+def nested(stats: DataFrame) -> DataFrame:
+    """One row with report: text_type -> method -> the statistics of that row, for export as one object."""
+    own = F.struct(*(c for c in stats.columns if c not in ("text_type", "method")))
+    methods = stats.groupBy("text_type").agg(F.map_from_entries(F.collect_list(F.struct(F.col("method"), own))).alias("m"))
+    return methods.agg(F.map_from_entries(F.collect_list(F.struct("text_type", "m"))).alias("report"))
+
+
+def markdown(stats: DataFrame) -> DataFrame:
+    """(line, value): a Markdown table of the totals by text_type and method."""
+    from quillmill.sources.files import report_line
+
+    head = stats.sparkSession.createDataFrame([(0, "| text | method | texts | segments | characters |"), (1, "|---|---|---|---|---|")], "line int, value string")
+    place = F.row_number().over(Window.orderBy("text_type", "method")) + 1  # a row for each method
+    return head.unionByName(report_line(stats.withColumn("line", place), "| %s | %s | %d | %d | %d |", "text_type", "method", "total_texts", "total_segments", "total_chars", keep=["line"]))
+
+
 def box(measures: DataFrame) -> DataFrame:
     """Quartiles of average lengths by text_type and method, each text weighing as many segments as it has."""
     weighed = measures.where("num_segments > 0")

@@ -119,6 +119,6 @@ def append_errors(df: DataFrame, path: str) -> None:
     df.where("error IS NOT NULL").write.mode("append").json(path)
 
 
-def report_line(df: DataFrame, template: str, *columns: str) -> DataFrame:
-    """A line of text for each row: a printf template over columns."""
-    return df.select(F.format_string(template, *columns).alias("value"))
+def report_line(df: DataFrame, template: str, *columns: str, keep: list[str] | None = None) -> DataFrame:
+    """A line of text for each row, value: a printf template over columns; beside it the columns to keep."""
+    return df.select(*(keep or []), F.format_string(template, *columns).alias("value"))
