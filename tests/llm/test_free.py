@@ -279,6 +279,26 @@ def test_join_with_long_lists_in_blocks_and_in_parts(spark, monkeypatch, listed,
     assert got == groups(docs)
 
 
+def test_documents_that_share_much_but_not_enough_are_not_held_against_each_other(spark, monkeypatch):
+    """85 of 100 shingles are common to all: no pair links, and no block is searched."""
+    searched = []
+    monkeypatch.setattr(ngramjoin, "_searched", lambda *args: searched.append(1) or 1 / 0)
+    common = " ".join(f"c{i}" for i in range(89))
+    docs = [(i, common + " " + " ".join(f"u{i}x{k}" for k in range(15))) for i in range(200)] + [(500, common + " " + " ".join(f"u7x{k}" for k in range(14)) + " z")]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngramjoin.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: (100, 7 if i == 500 else i) for i, _ in docs} and not searched
+
+
+def test_a_set_owns_the_first_of_its_short_lists():
+    r = np.random.default_rng(5)
+    order = ngramjoin.Order([(int(x), int(c)) for x, c in zip(r.integers(-(2**62), 2**62, 50), r.integers(8, 99, 50))])
+    for n in (1, 2, 3, 7, 39, 40, 200):
+        s = np.unique(np.concatenate([r.choice(order.hashes, min(n, 20), False), r.integers(1, 2**63, max(0, n - 20)).astype(np.uint64)]))
+        keys, at, own = order.place(s)[0], order.short(s), order.owned(len(s))
+        least = sorted(keys.tolist())
+        assert sorted(keys[at].tolist()) == least[: len(at)] and sorted(keys[at[:own]].tolist()) == least[:own] and own <= len(at)
+
+
 def test_join_of_repeated_ids_null_ids_and_nothing(spark):
     a, b, c = ("one two three four five six seven", "ein zwei drei vier fünf sechs sieben", "uno dos tres cuatro cinco seis siete")
     long = " ".join(f"l{i}" for i in range(200))
