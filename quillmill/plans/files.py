@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillmill.operators import corpus, segments
 from quillmill.plans import corpus as corpus_plans, language
-from quillmill.plans.common import read, strip_sql
-from quillmill.sources import files
+from quillmill.plans.common import read, strip_sql, values_sql
+from quillmill.sources import files, wiki
 from quillmill.sources.shared import remove, shared_dir
 from quillmill.streaming import enrich
 
@@ -71,6 +71,7 @@ def _part(spark, sf_dir) -> DataFrame:
 
 
 QUERIES = {
+    "author_list": lambda s, d: wiki.authors(s),
     "csv_points": _csv,
     "report_file": _report,
     "tests_file": _tests,
@@ -83,6 +84,7 @@ QUERIES = {
 
 _STATS = corpus_plans.ORACLE_SQL["segmentation_stats"]
 ORACLE_SQL = {
+    "author_list": f"SELECT place::INT AS place, author FROM {values_sql(list(enumerate(wiki.AUTHORS)), 'place', 'author')}",
     "csv_points": corpus_plans.ORACLE_SQL["vocab_growth"],
     "report_file": f"SELECT n_rows, total_tokens, unique_types, round(type_token_ratio, 6) AS type_token_ratio FROM ({corpus_plans.ORACLE_SQL['token_stats']})",
     "tests_file": f"WITH {language.FREQUENT}, {language.CASES} SELECT error_word AS input, original AS expected, CASE error_type WHEN 'correct' THEN 'unknown' ELSE error_type END AS type FROM cases",

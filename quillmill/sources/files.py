@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
+from pyspark.errors.exceptions.base import PySparkException as SparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillmill.functions.text import setting
@@ -11,8 +13,8 @@ from quillmill.functions.text import setting
 TEXTS = "author string, title string, url string, text string"
 SPELLING_TESTS = "input string, expected string, type string"
 GROWTH_POINTS = "tokens bigint, types bigint, log_tokens double, log_types double"
-#: What is added to the name of a table that is being replaced.
-ASIDE = ".aside"
+#: What is added to the name of a table that is being replaced, and of one that cannot be read.
+ASIDE, BACKUP = ".aside", ".bak"
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -26,6 +28,20 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
         raise
 
 
+def read_or_set_aside(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table; an empty one if there is none, or if it cannot be read: then what is at path moves to path + BACKUP, in place of an earlier one."""
+    try:
+        spark.read.parquet(path).limit(1).collect()  # a footer and a row
+        return read_table(spark, path, schema)
+    except (AnalysisException, Py4JJavaError, SparkException) as e:
+        if getattr(e, "getCondition", lambda: None)() != "PATH_NOT_FOUND":
+            where = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
+            fs = where(path).getFileSystem(spark._jsc.hadoopConfiguration())
+            fs.delete(where(path + BACKUP), True)
+            fs.rename(where(path), where(path + BACKUP))
+        return spark.createDataFrame([], schema)
+
+
 def missing_columns(df: DataFrame, columns: list[str]) -> list[str]:
     """Those of columns that df lacks, in their order; names count as Spark's do, whatever their case."""
     known = {c.lower() for c in df.columns}

@@ -3,14 +3,32 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Tries, the wait after a failure grows by one of these (seconds), the wait when asked to slow down.
 TRIES, WAIT, SLOW_DOWN = 3, 1.0, 5.0
 
+#: The poets whose pages are gathered.
+AUTHORS = (
+    "Məhəmməd Füzuli",
+    "İmadəddin Nəsimi",
+    "Şah İsmayıl Xətai",
+    "Molla Pənah Vaqif",
+    "Qasım bəy Zakir",
+    "Seyid Əzim Şirvani",
+    "Xurşidbanu Natəvan",
+    "Qətran Təbrizi",
+    "Xaqani Şirvani",
+)
+
+
+def authors(spark: SparkSession, names: Sequence[str] = AUTHORS) -> DataFrame:
+    """(place, author): names in their order."""
+    return spark.createDataFrame(list(enumerate(names)), "place int, author string")
+
 
 def fetch(urls: DataFrame, transport: Callable[[str], tuple[int, str]], url: str = "url", wait: float = WAIT, slow_down: float = SLOW_DOWN) -> DataFrame:
     """urls with body and error. transport gives (status, body) and may raise.

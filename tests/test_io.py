@@ -1,4 +1,5 @@
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,19 @@ def test_a_swap_that_is_cut_short_loses_nothing(spark, tmp_path):
     assert spark.read.parquet(table).count() == 2 and not (tmp_path / f"1{files.ASIDE}").exists()
 
 
+def test_a_table_that_cannot_be_read_is_set_aside(spark, tmp_path):
+    path, schema = f"{tmp_path}/t", "id long"
+    assert files.read_or_set_aside(spark, path, schema).count() == 0
+    files.write_table(spark.range(3), path)
+    assert files.read_or_set_aside(spark, path, schema).count() == 3
+    for n in (1, 2):
+        shutil.rmtree(path, ignore_errors=True)
+        (tmp_path / "t").mkdir()
+        (tmp_path / "t" / "part-0.parquet").write_bytes(b"no table" * n)
+        assert files.read_or_set_aside(spark, path, schema).count() == 0
+        assert not (tmp_path / "t").exists() and (tmp_path / f"t{files.BACKUP}" / "part-0.parquet").read_bytes() == b"no table" * n
+
+
 def test_columns_are_asked_for_before_any_work(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, Text string")
     assert files.missing_columns(df, ["text", "doc_id", "other"]) == ["other"]
