@@ -339,6 +339,7 @@ def test_join_stage_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = sorted(((r.doc_id or 0, r.lang or "") for r in ngramjoin.stage(spark, docs, "").collect()))
     assert got == [(0, "n"), (0, "n"), (2, ""), (7, "es"), (8, "x")]
+    assert ngramjoin.stage(spark, docs.limit(0), "").count() == 0 and ngramjoin.stage(spark, docs, "").columns == docs.columns
 
 
 def test_components_of_a_chain_a_star_and_nothing(spark):
