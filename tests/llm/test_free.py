@@ -289,6 +289,25 @@ def test_documents_that_share_much_but_not_enough_are_not_held_against_each_othe
     assert got == {i: (100, 7 if i == 500 else i) for i, _ in docs} and not searched
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_join_of_texts_that_share_boilerplate_is_that_of_all_pairs(spark, monkeypatch, seed):
+    r = random.Random(seed)
+    for name, value in {"LISTED": r.choice([1, 2, 4]), "LED": r.choice([1, 3]), "LEADER_ROUNDS": r.choice([0, 1]), "FREQUENT": r.choice([1, 3]), "SEARCHING": 4, "SEARCHED": 5, "PART_ROWS": r.choice([2, 9, 100_000]), "PAIRS": 4}.items():
+        monkeypatch.setattr(ngramjoin, name, value)
+    base = [[f"b{k}x{i}" for i in range(r.randint(40, 120))] for k in range(3)]
+    docs, last = [], []
+    for i in range(130):
+        b = r.choice(base)
+        words = b[: max(5, int(len(b) * r.choice([0.5, 0.8, 0.9, 0.95, 1])))] + [f"u{i}x{k}" for k in range(int(len(b) * r.choice([0, 0.02, 0.1, 0.15, 0.25])))]
+        if last and r.random() < 0.4:
+            words = [w if r.random() > 0.02 else f"y{i}" for w in r.choice(last)]
+        last.append(words)
+        docs.append((i, " ".join(words)))
+    want = groups(docs)
+    assert 10 < len({c for _, c in want.values()}) < 125
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngramjoin.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
+
+
 def test_a_set_owns_the_first_of_its_short_lists():
     r = np.random.default_rng(5)
     order = ngramjoin.Order([(int(x), int(c)) for x, c in zip(r.integers(-(2**62), 2**62, 50), r.integers(8, 99, 50))])
