@@ -41,6 +41,17 @@ def scratch_table(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on this session sends so many rows at most to Python at once.
+
+    Plans read that setting when they run, which may be long after they are made, so it stays. The JVM holds the texts of
+    a batch twice and keeps that memory: of the 10,000 rows that are usual, long documents take gigabytes.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, all else left."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from quillmill.llm.common import bound_batches
+
 #: Tags by what they mean for blocks.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -261,6 +263,7 @@ def extract_text(pages: DataFrame, html: str = "html", tree=None) -> DataFrame:
     row, so repeated rows give equal rows. Other columns pass through, empty tables stay empty.
     """
     tree = default_tree() if tree is None else tree
+    bound_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
     def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

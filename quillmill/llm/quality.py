@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quillmill.llm.common import settle
+from quillmill.llm.common import bound_batches, settle
 
 SPACES, SYMBOLS, UPPER, DIGITS = b" \t\n\r\x0b\x0c", b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 #: Fixed values of the contract.
@@ -185,6 +185,7 @@ def sample_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS,
     Documents are taken whole, in the order of that hash, as long as all together have up to so many lines. DEFAULT if
     labels or documents of either quality are missing.
     """
+    bound_batches(docs.sparkSession)
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for q in (0, 1)]
     ids = picked[0].unionByName(picked[1]).withColumn("turn", F.xxhash64("doc_id"))
@@ -213,6 +214,7 @@ def judge_quality(docs: DataFrame, field: LineField = DEFAULT, text: str = "text
     others pass through; empty tables stay empty.
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    bound_batches(docs.sparkSession)
 
     @F.pandas_udf(", ".join(f"{x} bigint" for x in names) + ", content_share double")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from quillmill.llm.common import qualified
+from quillmill.llm.common import bound_batches, qualified
 
 #: Fixed values of the formats.
 LOCAL, CENTRAL, END, END64, LOCATOR64, EXTRA64 = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50, 1
@@ -251,6 +251,7 @@ def archive_pages(pages: DataFrame, path: str, least_bytes: int = 0, archive_byt
     written whole; other columns are not read; an empty table gives no archives. Unless told otherwise archives have the
     wide records of ZIP64, which sizes beyond 4 GB need.
     """
+    bound_batches(pages.sparkSession)
     folder = qualified(pages.sparkSession, f"{path}/files")
     deduplicated(pages, least_bytes).mapInArrow(_write(folder, archive_bytes, zip64), "name string, size bigint").write.parquet(f"{path}/listed")
 
