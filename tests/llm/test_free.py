@@ -7,6 +7,7 @@ import html.parser
 import io
 import json
 import random
+import time
 import zipfile
 from collections import defaultdict
 from pathlib import Path
@@ -279,6 +280,50 @@ def test_join_with_long_lists_in_blocks_and_in_parts(spark, monkeypatch, listed,
     assert got == groups(docs)
 
 
+def _alive(spark):
+    """Shuffles that Spark has not cleaned up yet."""
+    return {int(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().keySet().mkString(",").split(",") if x}
+
+
+def test_the_shuffle_of_the_postings_goes_before_the_lists_are_joined(spark, monkeypatch):
+    """Each step of op7 finds the disk free of the shuffles of the step before."""
+    made, left, keep = set(), [], ngramjoin.Scratch.keep
+
+    def kept(self, df, name):
+        until = time.time() + 10
+        while made & _alive(spark) and time.time() < until:  # the cleaner works beside
+            time.sleep(0.1)
+        left.append((name, len(made & _alive(spark))))
+        before, out = _alive(spark), keep(self, df, name)
+        made.clear()
+        made.update(_alive(spark) - before)
+        return out
+
+    monkeypatch.setattr(ngramjoin.Scratch, "keep", kept)
+    docs = list(enumerate(made_texts(60, seed=6)))
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngramjoin.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == groups(docs)
+    assert [x for x in left if x[0] == "lists"] == [("lists", 0)] * 3
+
+
+@pytest.mark.parametrize("listed", [1, 32])
+def test_texts_are_moved_in_turns(spark, monkeypatch, listed):
+    """Whether pairs or blocks: a turn takes about half of the candidates' texts, and the turns together give all links."""
+    for name, value in {"MOVED": 2, "LISTED": listed, "LED": 1, "LEADER_ROUNDS": 1, "FREQUENT": 3, "SEARCHING": 4, "SEARCHED": 5, "PAIRS": 4}.items():
+        monkeypatch.setattr(ngramjoin, name, value)
+    turns, moved = [], ngramjoin._in_turns
+
+    def counted(n, held, work):
+        now = []
+        out = moved(n, held, lambda chosen: now.append(1) or work(chosen))
+        turns.append((n, held, len(now)))
+        return out
+
+    monkeypatch.setattr(ngramjoin, "_in_turns", counted)
+    docs = list(enumerate(made_texts(90, seed=4)))
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngramjoin.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == groups(docs)
+    assert all(k == max(1, -(-n // max(2, held // 2))) for n, held, k in turns) and max(k for _, _, k in turns) > 1
+
+
 def test_documents_that_share_much_but_not_enough_are_not_held_against_each_other(spark, monkeypatch):
     """85 of 100 shingles are common to all: no pair links, and no block is searched."""
     searched = []
