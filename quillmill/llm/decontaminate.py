@@ -126,10 +126,11 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts leak nothing and stay; rows that repeat an id go or stay together, null ids among them; an empty
     table gives an empty one, an empty benchmark takes nothing away.
     """
-    from quillmill.llm.common import read
+    from quillmill.llm.common import read, settle, split_by_ids
 
-    leaks = find_leaks(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti")
+    leaks = settle(find_leaks(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__leak")).distinct())
+    rest, met = split_by_ids(docs, leaks, F.col("doc_id"))  # else the join moves all texts
+    return rest.unionByName(met.join(leaks, F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

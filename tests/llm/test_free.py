@@ -18,7 +18,7 @@ import pytest
 from helpers import base_quality, groups, made_texts
 from pyspark.sql import functions as F
 
-from quillmill.llm import chat, graph, htmltext, ngramjoin, quality, urlfilter, warc
+from quillmill.llm import chat, common, graph, htmltext, ngramjoin, quality, urlfilter, warc
 
 PAGE = (
     '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head><body><header>Site</header><nav><ul><li><a href=/a>Menu</a></li></ul></nav>'
@@ -611,3 +611,33 @@ def test_equal_keys_are_told_apart_by_the_strings(tmp_path):
     assert array.contains(asked, clash).tolist() == [True, False, True, False, True, True, False]
     assert urlfilter.DigestArray(urlfilter.DigestArray.pack([])).contains([b"a"]).tolist() == [False]
     assert gzip.decompress(gzip.compress(b"x")) == b"x"
+
+
+def test_postings_and_meetings_go_in_turns(spark, monkeypatch):
+    """No turn shuffles all postings, nor all meetings on short lists, and the turns together give all links."""
+    for name, value in {"POSTED": 100, "COUNTED": 20, "LED": 4, "LISTED": 32, "FREQUENT": 3}.items():
+        monkeypatch.setattr(ngramjoin, name, value)
+    posts, turned, post, by_turns = [], [], ngramjoin._post, ngramjoin._by_turns
+    monkeypatch.setattr(ngramjoin, "_post", lambda *a: posts.append(a[3:]) or post(*a))
+    monkeypatch.setattr(ngramjoin, "_by_turns", lambda turns, work: turned.append(turns) or by_turns(turns, work))
+    docs = list(enumerate(made_texts(90, seed=4)))
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngramjoin.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == groups(docs)
+    assert len(posts) > 1 and posts == [(turn, len(posts)) for turn in range(len(posts))] and max(turned) > 1
+
+
+def test_shuffles_of_a_round_of_components_go_before_the_next(spark, monkeypatch):
+    released = []
+    monkeypatch.setattr(graph, "MANY", 5)
+    monkeypatch.setattr(graph, "release", lambda spark: released.append(1))
+    edges = spark.createDataFrame([(i + 1, i) for i in range(40)], "u long, v long")
+    assert {r.component for r in graph.components(edges).collect()} == {0} and len(released) > 1
+
+
+def test_stages_move_only_the_texts_that_may_go(spark, tmp_path):
+    """Stages 3 and 4 hold few documents against ids; all others stay without a join."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(300)] + [(300, " ".join(f"w7x{k}" for k in range(12))), (None, "a b"), (5, "a b"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rest, met = common.split_by_ids(docs, spark.createDataFrame([(300,), (5,), (None,)], "i long"), F.col("doc_id"))
+    assert {r.doc_id for r in met.collect()} >= {300, 5, None} and met.count() < 20 and rest.count() + met.count() == len(rows)
+    kept = [(r.doc_id, r.text) for r in ngramjoin.stage(spark, docs, None).collect()]
+    assert sorted(kept, key=str) == sorted([r for r in rows if r[0] not in (300, 5)] + [(5, None)], key=str)
