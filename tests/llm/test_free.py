@@ -633,6 +633,25 @@ def test_shuffles_of_a_round_of_components_go_before_the_next(spark, monkeypatch
     assert {r.component for r in graph.components(edges).collect()} == {0} and len(released) > 1
 
 
+@pytest.mark.parametrize("many", [0, 100_000])
+def test_few_links_take_no_rounds_and_rounds_give_the_same(spark, monkeypatch, many):
+    stars, star = [], graph._stars
+    monkeypatch.setattr(graph, "MANY", many)
+    monkeypatch.setattr(graph, "_stars", lambda *a: stars.append(1) or star(*a))
+    r = random.Random(7)
+    edges = [(r.randrange(-60, 60) * 10**15, r.randrange(-60, 60) * 10**15) for _ in range(50)] + [(8, 8), (5, None), (9, 3), (3, 9)] + [(i, i + 1) for i in range(100, 130)]
+    want = {x: {x} for e in edges if None not in e and e[0] != e[1] for x in e}
+    for a, b in edges:
+        if a in want and b in want and want[a] is not want[b]:
+            want[a] |= want[b]
+            want |= {x: want[a] for x in want[b]}
+    found = graph.components(spark.createDataFrame(edges, "u long, v long"))
+    got = [(x.node, x.component) for x in found.collect()]
+    assert found.dtypes == [("node", "bigint"), ("component", "bigint")]
+    assert sorted(got) == sorted((x, min(s)) for x, s in want.items()) and bool(stars) == (many == 0)
+    assert graph.components(spark.createDataFrame([(4, 4)], "u long, v long")).collect() == []
+
+
 def test_stages_move_only_the_texts_that_may_go(spark, tmp_path):
     """Stages 3 and 4 hold few documents against ids; all others stay without a join."""
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(300)] + [(300, " ".join(f"w7x{k}" for k in range(12))), (None, "a b"), (5, "a b"), (5, None)]
