@@ -660,3 +660,20 @@ def test_stages_move_only_the_texts_that_may_go(spark, tmp_path):
     assert {r.doc_id for r in met.collect()} >= {300, 5, None} and met.count() < 20 and rest.count() + met.count() == len(rows)
     kept = [(r.doc_id, r.text) for r in ngramjoin.stage(spark, docs, None).collect()]
     assert sorted(kept, key=str) == sorted([r for r in rows if r[0] not in (300, 5)] + [(5, None)], key=str)
+
+
+def test_texts_are_hashed_once_for_all_turns_of_postings(spark, monkeypatch):
+    """The turns of postings and of meetings are bounded, and texts are read for them once."""
+    for name, value in {"POSTED": 100, "COUNTED": 2, "FREQUENT": 3}.items():
+        monkeypatch.setattr(ngramjoin, name, value)
+    names, turned, keep, by_turns = [], [], ngramjoin.Scratch.keep, ngramjoin._by_turns
+    hashed = spark.sparkContext.accumulator(0)
+    sets = ngramjoin.Shingler.sets
+    monkeypatch.setattr(ngramjoin.Shingler, "sets", lambda self, texts: hashed.add(len(texts)) or sets(self, texts))
+    monkeypatch.setattr(ngramjoin.Scratch, "keep", lambda self, df, name: names.append((name, hashed.value)) or keep(self, df, name))
+    monkeypatch.setattr(ngramjoin, "_by_turns", lambda turns, work: turned.append(turns) or by_turns(turns, work))
+    docs = list(enumerate(made_texts(90, seed=4)))
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngramjoin.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == groups(docs)
+    read = dict(reversed([(k, v) for k, v in names]))  # what was hashed before the first table of each name
+    assert [k for k, _ in names][:2] == ["shorts", "lists0"] and read["lists0"] == read["lists"] == 2 * len(docs)
+    assert max(turned) <= ngramjoin.COUNTING_TURNS
