@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import pytest
@@ -242,3 +243,40 @@ def test_full_lookups_are_those_of_a_scan_of_all_words(spark, data):
             assert r.alternatives == ",".join(c for _, _, c in near[w][:5]) and all(d > 3 for d, _, _ in near[w])
         elif r.distance >= 1:
             assert (r.distance, r.correction.lower()) == (near[w][0][0], near[w][0][2].lower()) and r.distance <= 3
+
+
+def test_training_in_memory_is_bounded_by_the_symbols(spark):
+    """Under 60 bytes a symbol, words and counts included."""
+    r = random.Random(5)
+    words = sorted({"".join(r.choice("abcdefghijklmnop") for _ in range(14)) for _ in range(20_000)})
+    table = spark.createDataFrame([(w, 1 + i % 7, (i, 0)) for i, w in enumerate(words)], "word string, freq bigint, first struct<doc:bigint,pos:int>").cache()
+    table.count()
+    tracemalloc.start()
+    merges = bpe.train_local(table, 30)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(merges) == 30 and most < 60 * 15 * len(words)
+
+
+def test_pairs_and_pieces_move_no_row_for_each_symbol_or_word(spark):
+    """Also where documents share an id, or have none."""
+    docs = spark.createDataFrame([(1, "aab ab"), (1, "ba aab"), (None, "ab"), (2, "ab b")], "doc_id int, text string")
+    words = bpe.word_vocabulary(docs)
+    plan = bpe.pair_counts(words.checkpoint())._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+    firsts = {(r.left, r.right): (r.freq, r.first.first.doc, r.first.first.pos, r.first.i) for r in bpe.pair_counts(words).collect()}
+    assert firsts == {("a", "a"): (2, 1, 0, 0), ("a", "b"): (5, None, 0, 0), ("b", "</w>"): (6, None, 0, 1), ("b", "a"): (1, 1, 0, 0), ("a", "</w>"): (1, 1, 0, 1)}
+    merges = [("a", "b")]
+    assert sorted((r.doc_id or 0, r.bpe_text) for r in bpe.apply_merges(docs, merges).collect()) == [(0, ""), (1, "a ab b a a ab ab"), (1, "a ab b a a ab ab"), (2, "ab b")]
+    once = bpe.apply_merges(docs.where("doc_id = 2"), merges)
+    assert "Join" not in once._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_first_places_are_found_without_sorting_all_tokens(spark):
+    docs = spark.createDataFrame([(-5, "x y"), (3, "y x z")], "doc_id long, text string")
+    plan = corpus.ranked_tokens(docs, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    assert [r.token for r in corpus.ranked_tokens(docs, 3).orderBy("rank").collect()] == ["x", "y", "z"]
+    wide = docs.withColumn("doc_id", F.col("doc_id") * 10**15)
+    assert [r.token for r in corpus.ranked_tokens(wide, 3).orderBy("rank").collect()] == ["x", "y", "z"]
+    assert [(r.word, r.first.doc, r.first.pos) for r in bpe.word_vocabulary(docs).orderBy("first").collect()] == [("x", -5, 0), ("y", -5, 1), ("z", 3, 2)]
