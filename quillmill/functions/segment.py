@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from quillmill.functions.text import WS, filled, let, strip
@@ -50,3 +52,46 @@ def metrics(segments: Column) -> Column:
             some(F.get(sizes, F.lit(0)), 0).alias("min_length"), some(F.get(sizes, n - 1), 0).alias("max_length"), (F.size(segments) - n).alias("empty_segments"), total.alias("total_chars"))
 
     return let(F.array_sort(F.transform(F.filter(segments, lambda x: strip(x) != ""), lambda x: F.length(x))), of)
+
+
+#: The same patterns for whole batches of texts in Python, whose white space is the same class.
+_SENTENCE, _STANZA, _CLAUSE = re.compile(rf"{SENTENCE_END}(?:\s+|\Z)"), re.compile(r"\n\s*\n"), re.compile(rf"{CLAUSE_END}\s+")
+
+
+def _trimmed_parts(parts: list[str]) -> list[str]:
+    return [x for x in map(str.strip, parts) if x]
+
+
+def basic_parts(text: str) -> list[str]:
+    """basic() of one text."""
+    return _trimmed_parts(_SENTENCE.split(text.strip()))
+
+
+def poetry_parts(text: str) -> list[str]:
+    """poetry_aware() of one text."""
+    return [x for stanza in _STANZA.split(text.strip()) for x in basic_parts(stanza) or _trimmed_parts(stanza.split("\n"))]
+
+
+def advanced_parts(text: str) -> list[str]:
+    """advanced() of one text."""
+    out = []
+    for s in poetry_parts(text):
+        parts = _CLAUSE.split(s) if len(s) > LONG else [s]
+        out += _trimmed_parts(parts) if len(parts) > 1 else [s]
+    return out
+
+
+CUTTERS = dict(zip(METHODS, (basic_parts, poetry_parts, advanced_parts), strict=True))
+MEASURES = "num_segments int, avg_length double, median_length double, std_length double, min_length int, max_length int, empty_segments int, total_chars int"
+
+
+def measures(segments: list[str]) -> tuple:
+    """metrics() of one list."""
+    sizes = sorted(len(x) for x in segments if x.strip())
+    n, total = len(sizes), sum(sizes)
+    if not n:
+        return len(segments), 0.0, 0.0, 0.0, 0, 0, len(segments), 0
+    mean, spread = total / n, 0.0
+    for x in sizes:
+        spread += (x - mean) * (x - mean)
+    return len(segments), mean, (sizes[(n - 1) // 2] + sizes[n // 2]) / 2, (spread / n) ** 0.5 if n > 1 else 0.0, sizes[0], sizes[-1], len(segments) - n, total

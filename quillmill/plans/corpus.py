@@ -39,17 +39,21 @@ def _docs(spark, sf_dir, *columns):
     return read(spark, sf_dir, "documents", *columns)
 
 
-def _versed(spark):
-    return segments.segmented(inline(spark, VERSES, "doc_id int, text string"), {"verse": "text"})
+def _versed(spark, *methods):
+    return segments.segmented(inline(spark, VERSES, "doc_id int, text string"), {"verse": "text"}, methods=methods or segments.METHODS)
 
 
-def _of_docs(spark, sf_dir):
-    return segments.segmented(_docs(spark, sf_dir, "doc_id", "text"), {"original": "text"})
+def _of_docs(spark, sf_dir, *methods):
+    return segments.segmented(_docs(spark, sf_dir, "doc_id", "text"), {"original": "text"}, methods=methods or segments.METHODS)
+
+
+def _measures(spark, sf_dir):
+    return segments.measures_of(_docs(spark, sf_dir, "doc_id", "text"), {"original": "text"})
 
 
 def _method(m):
     def run(spark, sf_dir):
-        return _of_docs(spark, sf_dir).where(F.col("method") == m).unionByName(_versed(spark).where(F.col("method") == m)).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text_type", F.array_join("segments", "␞").alias("segments"), F.size("segments").cast("bigint").alias("n"))
+        return _of_docs(spark, sf_dir, m).unionByName(_versed(spark, m)).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text_type", F.array_join("segments", "␞").alias("segments"), F.size("segments").cast("bigint").alias("n"))
 
     return run
 
@@ -92,9 +96,9 @@ QUERIES = {
     "segments_basic": _method("basic"),
     "segments_poetry": _method("poetry_aware"),
     "segments_advanced": _method("advanced"),
-    "segment_metrics": lambda s, d: segments.measured(_of_docs(s, d)).unionByName(segments.measured(_versed(s))).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text_type", "method", "num_segments", F.round("avg_length", 6).alias("avg_length"), "median_length", F.round("std_length", 6).alias("std_length"), "min_length", "max_length", "empty_segments", "total_chars"),
-    "segmentation_stats": lambda s, d: segments.statistics(segments.measured(_of_docs(s, d))).withColumns({c: F.round(c, 6) for c in ("avg_segments", "avg_segment_length", "median_segment_length")}),
-    "segment_box": lambda s, d: segments.box(segments.measured(_of_docs(s, d))).withColumns({c: F.round(c, 6) for c in ("least", "q1", "q2", "q3", "most")}),
+    "segment_metrics": lambda s, d: _measures(s, d).unionByName(segments.measured(_versed(s))).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text_type", "method", "num_segments", F.round("avg_length", 6).alias("avg_length"), "median_length", F.round("std_length", 6).alias("std_length"), "min_length", "max_length", "empty_segments", "total_chars"),
+    "segmentation_stats": lambda s, d: segments.statistics(_measures(s, d)).withColumns({c: F.round(c, 6) for c in ("avg_segments", "avg_segment_length", "median_segment_length")}),
+    "segment_box": lambda s, d: segments.box(_measures(s, d)).withColumns({c: F.round(c, 6) for c in ("least", "q1", "q2", "q3", "most")}),
     "segmentation_examples": lambda s, d: segments.examples(_docs(s, d, "doc_id", "text"), {"original": "text"}).select("doc_id", *(F.array_join(F.col(f"original.{m}"), "␞").alias(m) for m in segments.SEGMENTERS)),
     "settings_lines": lambda s, d: inline(s, SETTINGS, "id int, line string").select("id", setting(F.col("line")).alias("s")).where("s IS NOT NULL").select("id", "s.key", "s.value"),
     "url_forms": lambda s, d: inline(s, TITLES, "title string").select("title", url_query(F.col("title")).alias("as_query"), url_path(F.col("title")).alias("as_path")),

@@ -78,8 +78,8 @@ QUERIES = {
     "swapped_table": _table,
     "error_log": _errors,
     "offset_and_limit": _part,
-    "segmentation_nested": lambda s, d: segments.nested(segments.statistics(segments.measured(corpus_plans._of_docs(s, d)))).select(*(F.col("report")["original"][m]["total_segments"].alias(m) for m in segments.SEGMENTERS), F.size("report").alias("text_types")),
-    "segmentation_markdown": lambda s, d: segments.markdown(segments.statistics(segments.measured(corpus_plans._of_docs(s, d)))),
+    "segmentation_nested": lambda s, d: segments.nested(segments.statistics(corpus_plans._measures(s, d))).select(*(F.col("report")["original"][m]["total_segments"].alias(m) for m in segments.SEGMENTERS), F.size("report").alias("text_types")),
+    "segmentation_markdown": lambda s, d: segments.markdown(segments.statistics(corpus_plans._measures(s, d))),
 }
 
 _STATS = corpus_plans.ORACLE_SQL["segmentation_stats"]

@@ -1,8 +1,11 @@
+import random
+
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 import pytest
 
 from quillmill.functions import clean, distance, segment, text
+from quillmill.operators import segments
 
 
 def one(spark, expression, **values):
@@ -118,3 +121,17 @@ def test_typos_are_repeatable_and_of_their_type(spark):
         if r.error_type == "transposition":
             assert sorted(r.error_word) == sorted(r.word)
     assert next(r for r in rows if r.word == "a").error_type == "correct"
+
+
+def test_segments_cut_in_python_are_those_of_the_expressions(spark):
+    """For texts of odd marks and spaces, and with no cut within an expression, which whoever reads it would repeat."""
+    r = random.Random(4)
+    marks = ["a", "bc", "é", "x" * 70, ".", "!", "؟", "۔", ";", "،", " ", "\n", "\n\n", "\t", "\x1c", "\x85", "\xa0", " ", "​", " ", "\r\n"]
+    texts = [None, "", " ", "."] + ["".join(r.choice(marks) for _ in range(r.randrange(60))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {(x.doc_id, x.method): x.segments for x in segments.segmented(docs, {"t": "text"}).collect()}
+    want = {(x.doc_id, m): x[m] for x in docs.select("doc_id", *(f(F.col("text")).alias(m) for m, f in segment.SEGMENTERS.items())).collect() for m in segment.METHODS}
+    assert got == want and len(got) == 3 * len(texts)
+    assert sorted(segments.measures_of(docs, {"t": "text"}).collect()) == sorted(segments.measured(segments.segmented(docs, {"t": "text"})).collect())
+    plan = segments.box(segments.measures_of(docs, {"t": "text"}))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "split(" not in plan
