@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from quillmill.functions.text import filled, left_strip, let, strip
@@ -80,6 +82,37 @@ def clean_text(c: Column) -> Column:
         b["text"].alias("text"), a["removed"].alias("template_removed"), b["removed"].alias("toc_removed"))))
 
 
+#: The line ends for whole batches of texts in Python, whose white space is the same class.
+_ENDS = re.compile(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+
+
+def _lines(text: str) -> list[str]:
+    out = _ENDS.split(text)
+    return out[:-1] if len(out) > 1 and not out[-1] else out
+
+
+def cleaned(text: str) -> tuple[str, bool, bool]:
+    """clean_text() of one text."""
+    now, removed = text.replace("\r\n", "\n").replace("\r", "\n").lstrip(), False
+    if now:
+        lines = _lines(now)
+        first = int(lines[0].lstrip().startswith("{{"))
+        rest = lines[first:]
+        n = next((i for i, x in enumerate(rest) if not x.lstrip().startswith("|")), len(rest))
+        removed = n < len(rest) and rest[n].strip().startswith("}}") and n + first > 0
+        if removed:
+            now = "\n".join(rest[n + 1 :])
+    now = now.lstrip("\n")
+    full = [x for x in map(str.strip, _lines(now)) if x]
+    bullets = sum(x.startswith("*") for x in full)
+    is_toc = len(full) >= TOC_LINES and bullets >= TOC_LINES and bullets / len(full) >= TOC_SHARE
+    if is_toc:
+        other = [x for x in _lines(now) if (bare := x.strip()) and not bare.startswith("*")]
+        headings = all(len(x.strip()) <= TOC_HEADING for x in other) and sum(len(x.split()) for x in other) <= TOC_WORDS
+        now = "" if headings else "\n".join(other).strip("\n")
+    return now, removed, is_toc
+
+
 def long_enough(c: Column, least_bytes: int = 300, least_breaks: int = 10) -> Column:
     """Whether a text has enough UTF-8 bytes and line breaks."""
     breaks = F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))

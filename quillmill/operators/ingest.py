@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quillmill.functions.clean import clean_text, clean_wikitext, long_enough
-from quillmill.functions.text import filled, strip, url_path
+from quillmill.functions.clean import clean_text, clean_wikitext, cleaned, long_enough
+from quillmill.functions.text import url_path
 
 #: Prefixes of pages that are no texts.
 OTHER_PAGES = ("Kateqoriya:", "Şəkil:", "Author:")
@@ -62,11 +64,17 @@ def clean_column(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def cleaning_report(docs: DataFrame, text: str = "text") -> DataFrame:
-    """How many rows cleaning changes, and how."""
-    out = clean_column(docs.withColumn("__before", filled(text)), text)
-    return out.agg(
-        F.count("*").alias("n_rows"), F.count_if(F.col("__before") != F.col(text)).alias("changed_rows"), F.count_if("template_removed").alias("template_removed_rows"),
-        F.count_if("toc_removed").alias("toc_removed_rows"), F.count_if(strip(F.col(text)) == "").alias("empty_after_cleaning"))
+    """How many rows cleaning changes, and how. Texts are cleaned in Python, where they stand: as an expression each lambda is worked out for each line."""
+    names = ("changed_rows", "template_removed_rows", "toc_removed_rows", "empty_after_cleaning")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t.as_py() or "" for t in b.column(0)]
+            found = [(now != t, template, toc, not now.strip()) for t in texts for now, template, toc in [cleaned(t)]]
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)], pa.int64()), *(pa.array([sum(r[i] for r in found)], pa.int64()) for i in range(len(names)))], ["n_rows", *names])
+
+    counted = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(rows, ", ".join(f"{c} bigint" for c in ("n_rows", *names)))
+    return counted.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_rows", *names)))
 
 
 def numbered(docs: DataFrame, order: str, name: str = "row") -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import pytest
 
 from quillmill.functions import clean, distance, segment, text
-from quillmill.operators import segments
+from quillmill.operators import ingest, segments
 
 
 def one(spark, expression, **values):
@@ -135,3 +135,16 @@ def test_segments_cut_in_python_are_those_of_the_expressions(spark):
     assert sorted(segments.measures_of(docs, {"t": "text"}).collect()) == sorted(segments.measured(segments.segmented(docs, {"t": "text"})).collect())
     plan = segments.box(segments.measures_of(docs, {"t": "text"}))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "split(" not in plan
+
+
+def test_texts_cleaned_in_python_are_those_of_the_expression(spark):
+    r = random.Random(9)
+    marks = ["{{", "}}", "|", "* a", "*b", "\n", "\n", "\n", "\r\n", "\r", " ", "\x85", "\x1c", "\x0b", " ", "word", "long " * 12]
+    texts = [None, "", "\n", "{{", "}}", "{{\n}}"] + ["".join(r.choice(marks) for _ in range(r.randrange(40))) for _ in range(600)] + ["\n".join(["* a"] * r.randrange(4, 9) + ["b"] * r.randrange(5)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    want = [tuple(x.c) for x in docs.select("i", clean.clean_text(F.col("text")).alias("c")).orderBy("i").collect()]
+    assert [clean.cleaned(t or "") for t in texts] == want and {w[1:] for w in want} >= {(True, False), (False, True), (False, False)}
+    report = ingest.cleaning_report(docs)
+    assert report.first() == (len(texts), sum(w[0] != (t or "") for w, t in zip(want, texts)), sum(w[1] for w in want), sum(w[2] for w in want), sum(not w[0].strip() for w in want))
+    assert "transform" not in report._jdf.queryExecution().optimizedPlan().toString()
+    assert ingest.cleaning_report(docs.limit(0)).first() == (0, 0, 0, 0, 0)
