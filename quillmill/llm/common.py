@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quillmill.sources.shared import remove, shared_dir
+from quillmill.sources.shared import bound_batches, remove, settle, shared_dir  # noqa: F401
 
 #: What separates words in most contracts here: ASCII white space only.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
@@ -22,14 +22,6 @@ def qualified(spark: SparkSession, path: str) -> str:
     return fs.makeQualified(where).toString()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder: later plans start from it and survive lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def release(spark: SparkSession) -> None:
     """Lets go of shuffles whose plans are out of use: their files stay on executors' disks until the driver collects its garbage, which long jobs on small plans hardly make it do."""
     gc.collect()
@@ -41,17 +33,6 @@ def scratch_table(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """From now on this session sends so many rows at most to Python at once.
-
-    Plans read that setting when they run, which may be long after they are made, so it stays. The JVM holds the texts of
-    a batch twice and keeps that memory: of the 10,000 rows that are usual, long documents take gigabytes.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, rows)
-
-
 def split_by_ids(docs: DataFrame, ids: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
     """docs in two: rows whose key is surely none of ids (one column of the key's type), and those of ids with perhaps a few more.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillmill.functions.distance import folded, variants, weighted_distance
 from quillmill.functions.text import az_lower, normalised_tokens, preserve_case, strip
+from quillmill.sources.shared import settle
 
 
 #: The type of the alternatives in an answer.
@@ -120,12 +121,12 @@ def correct(words: DataFrame, vocabulary: DataFrame, radius: int = 4) -> DataFra
     Most words have a near one: those within NEAR are sought first, by long pieces, and only for the rest the whole radius.
     The case of the first letter is restored in all tiers.
     """
-    asked = _untold(_asked(words), "tier")
+    asked = settle(_untold(_asked(words), "tier"))  # and after each tier: each reads it twice, so plans would double
     rest = lambda: asked.where("tier IS NULL").select("word", "low")
-    asked = _then(asked, exact(rest(), vocabulary), "exact", "tier")
-    asked = _then(asked, by_variant(rest(), vocabulary), "variant", "tier")
+    asked = settle(_then(asked, exact(rest(), vocabulary), "exact", "tier"))
+    asked = settle(_then(asked, by_variant(rest(), vocabulary), "variant", "tier"))
     for k in [NEAR, radius] if radius > NEAR else [radius]:
-        asked = _then(asked, nearest(candidates(rest(), vocabulary, k, once=False)), "distance", "tier")
+        asked = settle(_then(asked, nearest(candidates(rest(), vocabulary, k, once=False)), "distance", "tier"))
     return asked.select("word", preserve_case(F.col("correction"), F.col("word")).alias("correction"), "distance", "freq", F.coalesce("tier", F.lit("none")).alias("tier"))
 
 

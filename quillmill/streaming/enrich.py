@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from quillmill.functions.text import filled, strip
+from quillmill.sources.shared import bound_batches
 
 
 def pending(docs: DataFrame, done: DataFrame, key: str, start: int | None = 0, limit: int | None = None) -> DataFrame:
@@ -43,6 +44,7 @@ def enrich(docs: DataFrame, model: Callable[[str], str], key: str, text: str, tr
             got = [one(t) for t in b[text]]
             yield pd.DataFrame({key: b[key], "value": [x[0] for x in got], "error": [x[1] for x in got]})
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInPandas(rows, f"`{key}` {kind}, value string, error string")
 

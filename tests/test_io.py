@@ -176,3 +176,11 @@ def test_stream_merges_without_duplicates(spark, tmp_path):
         source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
         merge.merge_stream(spark, source, f"{tmp_path}/table", schema, ["author", "title"], "n", f"{tmp_path}/state").awaitTermination()
     assert sorted(r.n for r in spark.read.parquet(f"{tmp_path}/table").select(F.col("n")).collect()) == [1, 4, 5, 7]
+
+
+def test_a_model_gets_few_rows_at_once(spark):
+    """Texts of a batch are held several times, so batches are bounded."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    docs = spark.range(5).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    assert enrich.enrich(docs, str.upper, "doc_id", "text").count() == 5
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000

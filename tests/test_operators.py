@@ -280,3 +280,14 @@ def test_first_places_are_found_without_sorting_all_tokens(spark):
     wide = docs.withColumn("doc_id", F.col("doc_id") * 10**15)
     assert [r.token for r in corpus.ranked_tokens(wide, 3).orderBy("rank").collect()] == ["x", "y", "z"]
     assert [(r.word, r.first.doc, r.first.pos) for r in bpe.word_vocabulary(docs).orderBy("first").collect()] == [("x", -5, 0), ("y", -5, 1), ("z", 3, 2)]
+
+
+def test_tiers_of_the_cascade_start_from_what_is_kept(spark):
+    """Each tier reads the words twice and the vocabulary once: neither is worked out anew."""
+    words = spark.createDataFrame([("kitb",), ("su",), ("zzzzzzz",)], "word string")
+    runs = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda w: runs.add(1) or w).asNondeterministic()
+    vocabulary = spark.createDataFrame([("kitab", 3), ("su", 2)], "word string, freq bigint")
+    found = spell.correct(words.select(seen("word").alias("word")), vocabulary)
+    assert {r.word: (r.correction, r.tier) for r in found.collect()} == {"kitb": ("kitab", "distance"), "su": ("su", "exact"), "zzzzzzz": (None, "none")}
+    assert runs.value == 3 and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
